@@ -87,3 +87,45 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
         edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     )
+
+
+#: Bits of an id filter: its size is fixed, whatever the number of ids.
+FILTER_BITS = 1 << 23
+
+
+class IdFilter:
+    """A fixed-size hash filter of a column's values: ``rows`` keeps every row
+    whose value is in the column, and few others as long as the column has far
+    fewer distinct values than FILTER_BITS.  Used to read the texts of some
+    documents without a shuffle of all texts; callers must bear with extra rows.
+    """
+
+    def __init__(self, df: DataFrame, column: str) -> None:
+        h = self._hash(column) + 1  # bitmap functions count from 1
+        parts = (
+            df.select(h.alias("h"))
+            .groupBy(F.bitmap_bucket_number("h").alias("k"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m"))
+            .collect()
+        )
+        table = bytearray(FILTER_BITS // 8)
+        for r in parts:
+            at = (r["k"] - 1) * len(r["m"])
+            table[at : at + len(r["m"])] = r["m"]
+        self.table = df.sparkSession.sparkContext.broadcast(bytes(table))
+
+    @staticmethod
+    def _hash(column: str) -> F.Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+    def holds(self, column: str) -> F.Column:
+        table = self.table
+
+        @F.pandas_udf("boolean")
+        def found(h):
+            import numpy as np
+
+            bits, v = np.frombuffer(table.value, np.uint8), h.to_numpy()
+            return h.__class__((bits[v >> 3] >> (v & 7)) & 1 == 1)
+
+        return found(self._hash(column))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import iblt, langid, mixing, pieces, pii, urlfilter, warc
+from thalweg.llm import iblt, langid, mixing, ngramjoin, pieces, pii, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", "n_chunks", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "token_ids")
 
 
+def op7_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge_urls(pages, urlfilter.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_fingerprint": op5_fingerprint,
     "op6_pieces": op6_pieces,
+    "op7_ngramjoin": op7_ngramjoin,
     "op8_urlfilter": op8_urlfilter,
     "op10_pii": op10_pii,
 }
