@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import iblt, langid, mixing, ngramjoin, pieces, pii, urlfilter, warc
+from thalweg.llm import iblt, langid, mixing, ngramjoin, pieces, pii, urlfilter, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, urlfilter.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pii.pseudonymise(docs.select("doc_id", "text")).select("doc_id", "n_entities", "text")
@@ -63,5 +67,6 @@ QUERIES = {
     "op6_pieces": op6_pieces,
     "op7_ngramjoin": op7_ngramjoin,
     "op8_urlfilter": op8_urlfilter,
+    "op9_vectors": op9_vectors,
     "op10_pii": op10_pii,
 }
