@@ -6,13 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import iblt, langid, mixing, ngramjoin, pieces, pii, urlfilter, vectors, warc
+from thalweg.llm import iblt, langid, mixing, ngramjoin, pieces, pii, suffix, urlfilter, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.select("doc_id", "text", "lang"))
@@ -60,6 +64,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix": op1_suffix,
     "op2_langid": op2_langid,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
