@@ -63,9 +63,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole, and once up to the cut of
     its source if that falls into it; documents that aren't taken go."""
     docs = docs.select(*COLUMNS)
-    mixed = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "source", "size", "taken").distinct()
-    taken = mixed.withColumns({"_whole": F.expr("taken div size"), "_part": F.expr("taken % size")}).drop("size", "taken", "source")
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    mixed = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "size", "taken").distinct()
+    taken = mixed.withColumns({"_whole": F.expr("taken div size"), "_part": F.expr("taken % size")}).drop("taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")) & (mixing.n_words(F.col("text")) == F.col("size"))
+    both = docs.join(taken, same)
     whole = both.where("_whole > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_whole"))))
     part = both.where("_part > 0").withColumn("text", _head("text", "_part")).withColumn("n_chars", F.length("text").cast("long"))
     return whole.select(*COLUMNS).unionByName(part.select(*COLUMNS))
