@@ -17,8 +17,10 @@ on where chunks are cut.  Ties go to the piece that begins earliest.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +39,9 @@ CHUNK_CHARS, GIANT_CHARS = 1 << 14, 1 << 15
 #: How far before its nominal end a chunk may end to meet a position that nothing spans.
 SEEK_CHARS = 512
 #: Segments that a worker remembers before it starts anew, and the longest that it remembers.
-MEMORY, LONGEST = 400_000, 64
-#: A batch of results is sent on when it has so many tokens.
-BATCH_TOKENS = 1 << 20
+MEMORY, LONGEST = 600_000, 64
+#: Texts are encoded together until they have so many characters.
+BATCH_CHARS = 1 << 20
 
 
 @dataclass
@@ -87,9 +89,18 @@ class Codec:
         # unless some piece has a space after another character, nothing spans the start of a run of spaces
         self.cuts = not any(" " in name.lstrip(" ") for name in texts.values())
         self.split = re.compile(r" +[^ ]*|[^ ]+" if self.cuts else r"(?s).+").findall
-        self.memo: dict[str, tuple[int, list[int]]] = {}
-        self.byte_at = {i: b for b, i in enumerate(pieces.byte_ids)}
-        self.spelt = {i: pieces.names[i].replace(MARK, " ").encode() for i in range(len(pieces.names))}
+        self.memo: dict[str, tuple[int, bytes]] = {}
+        # the prefixes as a trie: sorted (node, character) and where they lead
+        node = {"": 0} | {name: i for i, name in enumerate(self.prefixes, 1)}
+        steps = sorted((node[name[:-1]] << 21 | ord(name[-1]), i) for name, i in node.items() if name)
+        self.step_keys, self.step_nodes = np.array([k for k, _ in steps], np.int64), np.array([i for _, i in steps], np.int64)
+        self.piece_at = np.array([-1, *self.prefixes.values()], np.int64)
+        self.score_of = np.array(pieces.scores, np.int64)
+        byte_at = {i: bytes((b,)) for b, i in enumerate(pieces.byte_ids)}
+        spelt = [byte_at.get(i) or name.replace(MARK, " ").encode() for i, name in enumerate(pieces.names)]
+        self.sizes = np.array([len(x) for x in spelt])
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(spelt), np.uint8)
 
     @classmethod
     def of(cls, pieces: Pieces) -> Codec:
@@ -106,25 +117,27 @@ class Codec:
         back: list = [None] * (n + 1)
         for e, v in entries.items():
             best[e] = v
-        prefixes, scores, longest = self.prefixes, self.pieces.scores, self.longest
+        get, scores, longest, unknown = self.prefixes.get, self.pieces.scores, self.longest, self.unknown
         for i in range(core):
             b = best[i]
             if b is None:
                 continue
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = prefixes.get(s[i:j])
+            p = get(s[i])
+            j = i + 1
+            known = p is not None and p >= 0
+            v = b + (scores[p] if known else unknown)
+            if best[j] is None or v > best[j]:
+                best[j], back[j] = v, (i, p if known else -1)
+            if p is None:
+                continue
+            for j in range(i + 2, min(n, i + longest) + 1):
+                p = get(s[i:j])
                 if p is None:
                     break
                 if p >= 0:
-                    single |= j == i + 1
                     v = b + scores[p]
                     if best[j] is None or v > best[j]:
                         best[j], back[j] = v, (i, p)
-            if not single:
-                v = b + self.unknown
-                if best[i + 1] is None or v > best[i + 1]:
-                    best[i + 1], back[i + 1] = v, (i, -1)
         return best, back
 
     def trace(self, s: str, back: list, end: int) -> tuple[int, list[int]]:
@@ -139,29 +152,108 @@ class Codec:
             end = i
         return end, out[::-1]
 
-    def segment(self, seg: str) -> tuple[int, list[int]]:
+    def segment(self, seg: str) -> tuple[int, bytes]:
+        """Score and ids of a segment; ids are packed as 32-bit numbers."""
         got = self.memo.get(seg)
         if got is None:
             best, back = self.forward(seg, len(seg), {0: 0})
-            got = best[len(seg)], self.trace(seg, back, len(seg))[1]
+            got = best[len(seg)], array("i", self.trace(seg, back, len(seg))[1]).tobytes()
             if len(seg) <= LONGEST:
                 if len(self.memo) >= MEMORY:
                     self.memo.clear()
                 self.memo[seg] = got
         return got
 
-    def encode(self, text: str | None) -> list[int]:
-        """The ids of a text, nothing for null and empty."""
-        out: list[int] = []
-        if text:
-            remembered, segment = self.memo.get, self.segment
-            for seg in self.split(" " + text):
-                out += (remembered(seg) or segment(seg))[1]
-        return out
+    def learn(self, segs: list[str]) -> None:
+        """Put segments into the memory, all at once: their lattices lie behind one
+        another, and best scores advance over all of them character by character."""
+        segs = [s for s in segs if s not in self.memo and len(s) <= LONGEST]
+        if len(self.memo) + len(segs) > MEMORY:
+            self.memo.clear()
+        if not segs:
+            return
+        size = np.array([len(s) for s in segs])
+        code = np.frombuffer("".join(segs).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        of = np.repeat(np.arange(len(segs)), size)
+        end = np.cumsum(size)
+        local = np.arange(len(code)) - (end - size)[of]
+        begin, at, node = np.arange(len(code)), np.arange(len(code)), np.zeros(len(code), np.int64)
+        single = np.zeros(len(code), bool)
+        edges = []
+        while len(begin):
+            key = node << 21 | code[at]
+            place = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            hit = self.step_keys[place] == key
+            begin, at, node = begin[hit], at[hit] + 1, self.step_nodes[place[hit]]
+            piece = self.piece_at[node]
+            full = piece >= 0
+            edges.append((begin[full], at[full], piece[full]))
+            single[begin[full & (at == begin + 1)]] = True
+            on = at < end[of[begin]]
+            begin, at, node = begin[on], at[on], node[on]
+        odd = np.flatnonzero(~single)
+        edges.append((odd, odd + 1, -2 - code[odd]))  # an unknown character stands for itself
+        a, b, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
+        order = np.argsort(local[a], kind="stable")
+        a, b, piece = a[order], b[order], piece[order]
+        gain = np.where(piece >= 0, self.score_of[np.maximum(piece, 0)], self.unknown)
+        # a segment of n characters has n + 1 places
+        source, target = a + of[a], b + of[a]
+        best = np.full(len(code) + len(segs), -(1 << 62), np.int64)
+        best[(end - size) + np.arange(len(segs))] = 0
+        back = np.full(len(best), -1)
+        cut = np.searchsorted(local[a], np.arange(int(size.max()) + 1))
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            v = best[source[lo:hi]] + gain[lo:hi]
+            up = np.flatnonzero(v > best[target[lo:hi]])
+            best[target[lo + up]], back[target[lo + up]] = v[up], lo + up
+        here, who, parts = end + np.arange(len(segs)), np.arange(len(segs)), []
+        total = best[here]
+        while len(here):
+            edge = back[here]
+            on = edge >= 0
+            edge, who = edge[on], who[on]
+            parts.append((who, piece[edge]))
+            here = source[edge]
+        who, ids = (np.concatenate(x) for x in zip(*reversed(parts), strict=True))
+        order = np.argsort(who, kind="stable")
+        ids, bounds = ids[order].astype(np.int32), np.searchsorted(who[order], np.arange(len(segs) + 1)).tolist()
+        strange = set(who[order][ids < 0].tolist())
+        raw = ids.tobytes()
+        for k, (seg, v) in enumerate(zip(segs, total.tolist(), strict=True)):
+            data = raw[4 * bounds[k] : 4 * bounds[k + 1]]
+            if k in strange:
+                spelt: list[int] = []
+                for i in np.frombuffer(data, np.int32).tolist():
+                    spelt += [i] if i >= 0 else [self.pieces.byte_ids[x] for x in chr(-2 - i).encode("utf-8", "surrogatepass")]
+                data = array("i", spelt).tobytes()
+            self.memo[seg] = v, data
+
+    def packed_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of several texts, packed; nothing for null and empty."""
+        segs = [self.split(" " + t) if t else [] for t in texts]
+        self.learn(list({s for part in segs for s in part}))
+        remembered, segment = self.memo.get, self.segment
+        return [b"".join([(remembered(s) or segment(s))[1] for s in part]) for part in segs]
 
-    def decode(self, ids: list[int]) -> str:
-        byte_at, spelt = self.byte_at, self.spelt
-        return b"".join(bytes((byte_at[i],)) if i in byte_at else spelt[i] for i in ids).decode("utf-8", "surrogatepass")[1:]
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed_all([text])[0], np.int32).tolist()
+
+    def decode(self, ids) -> str:
+        """The text of ids, whose pieces' bytes are laid end to end."""
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return ""
+        size = self.sizes[ids]
+        end = np.cumsum(size)
+        at = np.repeat(self.places[ids] - end + size, size) + np.arange(end[-1])
+        return self.letters[at].tobytes()[1:].decode("utf-8", "surrogatepass")
+
+    def known(self, s: str) -> list[str]:
+        """The segments of a text, learnt."""
+        segs = self.split(s)
+        self.learn(list(set(segs)))
+        return segs
 
     # --- chunks of a giant text
     def states(self, s: str, at: int) -> list[int]:
@@ -196,14 +288,14 @@ class Codec:
     def transfer(self, s: str, core: int, entries: list[int], exits: list[int]) -> list[list[int | None]]:
         """Best score from each entry to each exit; None where no path leads."""
         if entries == exits == [0]:
-            return [[sum(self.segment(seg)[0] for seg in self.split(s[:core]))]]
+            return [[sum(self.segment(seg)[0] for seg in self.known(s[:core]))]]
         return [[best[core + x] for x in exits] for best in (self.forward(s, core, {e: 0})[0] for e in entries)]
 
     def back(self, s: str, core: int, entries: list[int], exits: list[int], scores: list[int | None]) -> list[tuple[int, list[int]]]:
         """For each exit, given the scores at the entries: the entry (by place) that
         the best path comes from, and the ids.  (-1, []) where no path leads."""
         if entries == exits == [0]:
-            return [(0, [i for seg in self.split(s[:core]) for i in self.segment(seg)[1]])]
+            return [(0, np.frombuffer(b"".join([self.segment(seg)[1] for seg in self.known(s[:core])]), np.int32).tolist())]
         best, back = self.forward(s, core, {e: v for e, v in zip(entries, scores, strict=True) if v is not None})
         found = [self.trace(s, back, core + x) if best[core + x] is not None else (-1, []) for x in exits]
         return [(entries.index(e) if e >= 0 else -1, ids) for e, ids in found]
@@ -258,20 +350,18 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", giant: int = GIA
     def whole(batches):
         codec = Codec.of(shared.value)
         for batch in batches:
-            lo, ids, n = 0, [], 0
-
-            def pack(lo, hi, ids):
-                made = [pa.array(ids, ints), pa.array([len(x) for x in ids], pa.int32()), pa.array([int(len(x) > 0) for x in ids], pa.int32())]
-                return pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns] + made, [*names, *new])
-
-            for k, t in enumerate(batch.column(at)):
-                ids.append(codec.encode(t.as_py()))
-                n += len(ids[-1])
-                if n >= BATCH_TOKENS:
-                    yield pack(lo, k + 1, ids)
-                    lo, ids, n = k + 1, [], 0
-            if ids:
-                yield pack(lo, batch.num_rows, ids)
+            texts = batch.column(at).to_pylist()
+            lo = n = 0
+            for k, t in enumerate(texts):
+                n += len(t or "")
+                if n >= BATCH_CHARS or k == len(texts) - 1:
+                    ids = codec.packed_all(texts[lo : k + 1])
+                    count = np.array([len(x) // 4 for x in ids], np.int32)
+                    flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), flat)
+                    made = [lists, pa.array(count), pa.array((count > 0).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([c.slice(lo, k + 1 - lo) for c in batch.columns] + made, [*names, *new])
+                    lo, n = k + 1, 0
 
     def cut(batches):
         codec = Codec.of(shared.value)
@@ -336,7 +426,9 @@ def decode(docs: DataFrame, pieces: Pieces, ids: str = "token_ids", out: str = "
     def run(batches):
         codec = Codec.of(shared.value)
         for batch in batches:
-            texts = [None if x is None else codec.decode(x) for x in (v.as_py() for v in batch.column(at))]
+            lists = batch.column(at)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            texts = [codec.decode(flat[a:b]) if v else None for a, b, v in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
     return docs.mapInArrow(run, extended(docs.schema, f"{out} string"))
