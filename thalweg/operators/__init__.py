@@ -1 +1,5 @@
-"""Placeholder; filled below."""
+"""Operators on flow networks."""
+
+from thalweg.operators.network import FlowNetwork
+
+__all__ = ["FlowNetwork"]

@@ -1 +1 @@
-"""Placeholder; filled below."""
+"""The networks here are bounded tables; there is no streaming operator."""
