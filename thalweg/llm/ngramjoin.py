@@ -7,7 +7,7 @@ have a Jaccard index of 0.8 or more, exactly.
   prefixes have put last.  Any such order is right; this one keeps common
   passages from gathering unrelated documents.
 * All entities of a shingle are first compared with its smallest one.  Where that
-  leaves a shingle's entities in several components, those of different
+  leaves the other entities of a shingle in several components, those of different
   components are compared in tiles: bands of set size, in blocks of bounded length.
 * A pair is verified by intersecting its sorted arrays only if the bitmap
   signatures allow the overlap: |A xor B| is at least the number of differing
@@ -346,7 +346,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
     labels = saved(components(links).withColumnRenamed("node", "entity"), "labels")
     labelled = saved(
-        shared.select("key", "entity").join(labels, "entity", "left").select("key", "entity", F.coalesce("component", "entity").alias("label")), "labelled"
+        shared.where("entity <> pivot").select("key", "entity").join(labels, "entity", "left").select("key", "entity", F.coalesce("component", "entity").alias("label")), "labelled"
     )
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rest = labelled.join(mixed, "key", "left_semi").join(entities.select("entity", "n", "sig"), "entity")
