@@ -94,14 +94,14 @@ def segments(net: FlowNetwork, mask: DataFrame | None = None, max_len: int = 0)
     own = F.least(F.floor(F.col("pos") / F.col("n")), F.col("k") - 1)
     shared = (F.col("pos") % F.col("n") == 0) & (F.col("pos") > 0) & (F.floor(F.col("pos") / F.col("n")) < F.col("k"))
     parts = F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))
-    cut = cut.select("seg", F.explode(parts).cast("int").alias("part"), "pos", "idx", "n")
-    return cut.select("seg", "part", (F.col("pos") - F.col("part") * F.col("n")).alias("pos"), "idx").unionByName(pits)
+    cut = cut.select("seg", F.explode(parts).alias("part"), "pos", "idx", "n")
+    return cut.select("seg", F.col("part").cast("int").alias("part"), (F.col("pos") - F.col("part") * F.col("n")).alias("pos"), "idx").unionByName(pits)
 
 
 def features(net: FlowNetwork, lines: DataFrame, key: list[str], coordinates: DataFrame | None = None, maps: DataFrame | None = None) -> DataFrame:
     """(type, geometry, properties) structs, one LineString per key of ``lines``
     (key..., pos, idx) with two points or more.  Properties are idx and idx_ds of
-    the first and last cell, whether the last is a pit, and the columns of ``maps``
+    the first and last cell, whether the line ends in two equal cells (as at pits), and the columns of ``maps``
     (idx, ...) at the first cell."""
     if coordinates is None:
         if net.grid is None:
@@ -115,9 +115,8 @@ def features(net: FlowNetwork, lines: DataFrame, key: list[str], coordinates: Da
         F.transform("p", lambda q: F.array(q["x"], q["y"])).alias("coordinates"),
         F.element_at("p", 1)["idx"].alias("idx"),
         F.element_at("p", -1)["idx"].alias("idx_ds"),
+        (F.element_at("p", -1)["idx"] == F.element_at("p", -2)["idx"]).alias("pit"),
     )
-    ends = net.pits().select(F.col("idx").alias("idx_ds"), F.lit(True).alias("_pit"))
-    line = line.join(ends, "idx_ds", "left").withColumn("pit", F.coalesce("_pit", F.lit(False)))
     extra = [] if maps is None else [c for c in maps.columns if c != "idx"]
     if extra:
         line = line.join(maps, "idx", "left")
