@@ -166,14 +166,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     k = int(min(MAX_RANGES, max(1, n // DOCS_PER_RANGE)))
     cuts = rows.agg(F.percentile_approx("_o", [i / k for i in range(1, k)], 20 * k).alias("c")).first()["c"] if k > 1 else []
     firsts = np.array(sorted({int(top), *map(int, cuts)}, reverse=True), np.int64)  # the first id of each range, in order
-    down = -firsts if lowest not in firsts else None
+    down = ~firsts  # ascending; unlike a negative it exists for every number
     count = len(firsts)
 
     @F.pandas_udf("array<int>")
     def ranges(ids):
         """The range of an id and, for a range's first id, the range before."""
         v = ids.to_numpy(np.int64)
-        own = np.searchsorted(down, -v, "right") - 1 if down is not None else np.array([int((firsts >= x).sum()) - 1 for x in v])
+        own = np.searchsorted(down, ~v, "right") - 1
         import pandas as pd
 
         return pd.Series([[int(r)] + [int(r - 1) % count] * bool(firsts[r] == x) for r, x in zip(own, v, strict=True)])
