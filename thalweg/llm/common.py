@@ -129,3 +129,24 @@ class IdFilter:
             return h.__class__((bits[v >> 3] >> (v & 7)) & 1 == 1)
 
         return found(self._hash(column))
+
+    def through(self, df: DataFrame, column: str, run, schema):
+        """``df`` filtered by ``column`` and mapped by ``run`` (as by mapInArrow) in one
+        Python worker; ``run`` gets the columns of ``df``."""
+        table, n = self.table, len(df.columns)
+
+        def both(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            def held():
+                bits = np.frombuffer(table.value, np.uint8)
+                for batch in batches:
+                    v = batch.column(n).to_numpy()
+                    at = np.flatnonzero((bits[v >> 3] >> (v & 7)) & 1)
+                    if len(at):
+                        yield batch.select(list(range(n))).take(pa.array(at))
+
+            return run(held())
+
+        return df.withColumn("_h", self._hash(column)).mapInArrow(both, schema)

@@ -27,7 +27,7 @@ TRI_BITS, BI_BITS = 18, 14
 ALPHA, LETTERS = 2.0, 60.0
 EM_ROUNDS = 12
 #: Work on at most about this many characters at a time.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 UNDETERMINED = "und"
 
 

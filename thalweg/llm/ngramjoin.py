@@ -289,7 +289,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, k: int) -> D
                 cols = [part.column(0), pa.array([entity_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["fetch", "entity", "items"])
 
-    texts = docs.where(wanted.holds("did")).mapInArrow(arrays, "fetch long, entity long, items binary")
+    texts = wanted.through(docs, "did", arrays, "fetch long, entity long, items binary")
     sets = texts.join(ids, ["entity", "fetch"], "left_semi").groupBy("entity").agg(F.any_value("items").alias("items"))
     sets = saved(sets, "arrays")
     both = pairs.join(sets.select(F.col("entity").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("entity").alias("a"), F.col("items").alias("x")), "a")
@@ -334,7 +334,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
             return prefix.__class__(out)
 
         affected = IdFilter(named.where(is_hot("prefix")).select("did"), "did")
-        again = texts.where(affected.holds("did")).mapInArrow(_describe(k, shared_keys), described)
+        again = affected.through(texts, "did", _describe(k, shared_keys), described)
         prefixes = named.where(~affected.holds("did")).select("entity", "prefix").unionByName(again.where("entity is not null").select("entity", "prefix"))
     shared = saved(dealt(prefixes, True).mapInArrow(_shared, "key long, entity long, pivot long"), "shared")
 

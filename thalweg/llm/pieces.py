@@ -38,10 +38,10 @@ UNKNOWN_PENALTY = 10
 CHUNK_CHARS, GIANT_CHARS = 1 << 14, 1 << 15
 #: How far before its nominal end a chunk may end to meet a position that nothing spans.
 SEEK_CHARS = 512
-#: Segments that a worker remembers before it starts anew, and the longest that it remembers.
-MEMORY, LONGEST = 600_000, 64
+#: Segments that a worker remembers before the older half goes, and the longest that it remembers.
+MEMORY, LONGEST = 200_000, 64
 #: Texts are encoded together until they have so many characters.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 
 @dataclass
@@ -89,7 +89,8 @@ class Codec:
         # unless some piece has a space after another character, nothing spans the start of a run of spaces
         self.cuts = not any(" " in name.lstrip(" ") for name in texts.values())
         self.split = re.compile(r" +[^ ]*|[^ ]+" if self.cuts else r"(?s).+").findall
-        self.memo: dict[str, tuple[int, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was remembered before the memory was last full
         # the prefixes as a trie: sorted (node, character) and where they lead
         node = {"": 0} | {name: i for i, name in enumerate(self.prefixes, 1)}
         steps = sorted((node[name[:-1]] << 21 | ord(name[-1]), i) for name, i in node.items() if name)
@@ -152,24 +153,25 @@ class Codec:
             end = i
         return end, out[::-1]
 
-    def segment(self, seg: str) -> tuple[int, bytes]:
-        """Score and ids of a segment; ids are packed as 32-bit numbers."""
+    def segment(self, seg: str) -> bytes:
+        """The ids of a segment, packed as 32-bit numbers."""
         got = self.memo.get(seg)
         if got is None:
-            best, back = self.forward(seg, len(seg), {0: 0})
-            got = best[len(seg)], array("i", self.trace(seg, back, len(seg))[1]).tobytes()
+            _, back = self.forward(seg, len(seg), {0: 0})
+            got = array("i", self.trace(seg, back, len(seg))[1]).tobytes()
             if len(seg) <= LONGEST:
-                if len(self.memo) >= MEMORY:
-                    self.memo.clear()
                 self.memo[seg] = got
         return got
 
     def learn(self, segs: list[str]) -> None:
         """Put segments into the memory, all at once: their lattices lie behind one
         another, and best scores advance over all of them character by character."""
-        segs = [s for s in segs if s not in self.memo and len(s) <= LONGEST]
-        if len(self.memo) + len(segs) > MEMORY:
-            self.memo.clear()
+        segs = [s for s in segs if len(s) <= LONGEST]
+        new = [s for s in segs if s not in self.memo]
+        if len(self.memo) + len(new) > MEMORY:
+            self.older, self.memo, new = self.memo, {}, segs
+        self.memo |= {s: self.older[s] for s in new if s in self.older}
+        segs = [s for s in new if s not in self.memo]
         if not segs:
             return
         size = np.array([len(s) for s in segs])
@@ -208,7 +210,6 @@ class Codec:
             up = np.flatnonzero(v > best[target[lo:hi]])
             best[target[lo + up]], back[target[lo + up]] = v[up], lo + up
         here, who, parts = end + np.arange(len(segs)), np.arange(len(segs)), []
-        total = best[here]
         while len(here):
             edge = back[here]
             on = edge >= 0
@@ -220,21 +221,21 @@ class Codec:
         ids, bounds = ids[order].astype(np.int32), np.searchsorted(who[order], np.arange(len(segs) + 1)).tolist()
         strange = set(who[order][ids < 0].tolist())
         raw = ids.tobytes()
-        for k, (seg, v) in enumerate(zip(segs, total.tolist(), strict=True)):
+        for k, seg in enumerate(segs):
             data = raw[4 * bounds[k] : 4 * bounds[k + 1]]
             if k in strange:
                 spelt: list[int] = []
                 for i in np.frombuffer(data, np.int32).tolist():
                     spelt += [i] if i >= 0 else [self.pieces.byte_ids[x] for x in chr(-2 - i).encode("utf-8", "surrogatepass")]
                 data = array("i", spelt).tobytes()
-            self.memo[seg] = v, data
+            self.memo[seg] = data
 
     def packed_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of several texts, packed; nothing for null and empty."""
         segs = [self.split(" " + t) if t else [] for t in texts]
         self.learn(list({s for part in segs for s in part}))
         remembered, segment = self.memo.get, self.segment
-        return [b"".join([(remembered(s) or segment(s))[1] for s in part]) for part in segs]
+        return [b"".join([remembered(s) or segment(s) for s in part]) for part in segs]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed_all([text])[0], np.int32).tolist()
@@ -286,16 +287,17 @@ class Codec:
         return out
 
     def transfer(self, s: str, core: int, entries: list[int], exits: list[int]) -> list[list[int | None]]:
-        """Best score from each entry to each exit; None where no path leads."""
+        """Best score from each entry to each exit; None where no path leads.  A chunk
+        with one of either adds the same to every path, so that needn't be known."""
         if entries == exits == [0]:
-            return [[sum(self.segment(seg)[0] for seg in self.known(s[:core]))]]
+            return [[0]]
         return [[best[core + x] for x in exits] for best in (self.forward(s, core, {e: 0})[0] for e in entries)]
 
     def back(self, s: str, core: int, entries: list[int], exits: list[int], scores: list[int | None]) -> list[tuple[int, list[int]]]:
         """For each exit, given the scores at the entries: the entry (by place) that
         the best path comes from, and the ids.  (-1, []) where no path leads."""
         if entries == exits == [0]:
-            return [(0, np.frombuffer(b"".join([self.segment(seg)[1] for seg in self.known(s[:core])]), np.int32).tolist())]
+            return [(0, np.frombuffer(b"".join([self.segment(seg) for seg in self.known(s[:core])]), np.int32).tolist())]
         best, back = self.forward(s, core, {e: v for e, v in zip(entries, scores, strict=True) if v is not None})
         found = [self.trace(s, back, core + x) if best[core + x] is not None else (-1, []) for x in exits]
         return [(entries.index(e) if e >= 0 else -1, ids) for e, ids in found]

@@ -8,7 +8,7 @@ import numpy as np
 
 SHINGLE_WORDS = 5
 #: Work on at most about this many bytes of text at a time (one document at least).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
