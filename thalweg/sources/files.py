@@ -32,7 +32,7 @@ def read_nextxy(spark: SparkSession, path: str, nrow: int, ncol: int, bounds: tu
 
 def read_ascii(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     """((row, col, value), rows, columns) of a text raster: lines of numbers, one row each."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("row", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("row", "line"))
     cells = lines.select("row", F.posexplode(F.split(F.trim("line"), r"[\s,]+")).alias("col", "v")).select("row", "col", F.col("v").cast("double").alias("value"))
     size = cells.agg(F.max("row"), F.max("col")).first()
     return cells, size[0] + 1, size[1] + 1
