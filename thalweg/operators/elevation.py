@@ -20,7 +20,7 @@ _CODE = {step: code for code, step in D8_STEPS.items()}
 
 def _as_grid(table: pa.Table, grid: GridSpec, column: str, dtype=np.float64) -> np.ndarray:
     out = np.full(grid.n, np.nan, dtype)
-    out[table.column("idx").to_numpy()] = table.column(column).to_numpy(zero_copy_only=False) if isinstance(table.column(column), pa.Array) else table.column(column).to_numpy()
+    out[table.column("idx").to_numpy()] = table.column(column).to_numpy()
     return out.reshape(grid.nrow, grid.ncol)
 
 
@@ -110,7 +110,7 @@ def fill_depressions(elevation: DataFrame, grid: GridSpec, outlets: str = "edge"
         return pa.table({"idx": np.arange(grid.n), "elev": pa.array(flat, mask=np.isnan(flat)), "code": code.ravel().astype(np.int16)})
 
     valid = elevation.where("elev is not null and not isnan(elev)").select(F.col("idx").cast("long"), F.col("elev").cast("double"))
-    return valid.groupBy(F.lit(0).alias("_g")).applyInArrow(lambda t: flood(t.select(["idx", "elev"])), "idx long, elev double, code short")
+    return valid.groupBy(F.lit(0).alias("_g")).applyInArrow(flood, "idx long, elev double, code short")
 
 
 def filled_surface(elevation: DataFrame, grid: GridSpec, connectivity: int = 8) -> DataFrame:
@@ -164,9 +164,7 @@ def adjust_profile(z: np.ndarray) -> np.ndarray:
     n = len(z)
     peak, peak_z, sink, sink_z = -1, z[0], -1, z[0]
     before, before2 = z[0], z[0]
-    source = np.array(z)
     for i in range(n):
-        here = source[i] if i < n else None
         here = z[i]
         if here >= peak_z:
             peak, peak_z = i, here
@@ -256,7 +254,7 @@ def dig_4connectivity(net: FlowNetwork, elevation: DataFrame, mask: DataFrame |
         out = z[idx]
         return pa.table({"idx": idx, "elev": pa.array(out, mask=np.isnan(out))})
 
-    return cells.groupBy(F.lit(0).alias("_g")).applyInArrow(lambda t: dig(t.drop_columns(["_g"]) if "_g" in t.column_names else t), "idx long, elev double")
+    return cells.groupBy(F.lit(0).alias("_g")).applyInArrow(dig, "idx long, elev double")
 
 
 def slope(elevation: DataFrame, grid: GridSpec) -> DataFrame:

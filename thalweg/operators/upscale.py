@@ -72,15 +72,14 @@ def _dmm_next(net: FlowNetwork, factor: int, out: DataFrame) -> DataFrame:
     cell towards it; paths are lengthened by doubling until they get there."""
     g = net.grid
     half = factor / 2.0
-    row, col = (lambda i: g.row(i)), (lambda i: g.col(i))
-    centre = lambda at, c: (F.floor(at(F.col("pixel")) / factor) + F.floor(at(F.col("pixel")) % factor / half)) * factor - 0.5
-    out = saved(out.withColumns({"r0": centre(row, "r"), "c0": centre(col, "c")}), "exits")
+    centre = lambda at: (F.floor(at / factor) + F.floor(at % factor / half)) * factor - 0.5
+    out = saved(out.withColumns({"r0": centre(g.row("pixel")), "c0": centre(g.col("pixel"))}), "exits")
     todo, jump, reach, done = out.select("cell", "pixel", "r0", "c0", F.lit(0).cast("long").alias("pos"), F.col("pixel").alias("idx")), net.cells.where("idx <> idx_ds"), 1, None
     last = net.cells.withColumn("to_cell", coarse_cell(g, factor, "idx_ds"))
     paths = saved(todo, "dmm")
     while True:
         at = paths.join(last, "idx")
-        beyond = (F.abs(row(F.col("idx")) - F.col("r0")) > half) | (F.abs(col(F.col("idx")) - F.col("c0")) > half)
+        beyond = (F.abs(g.row() - F.col("r0")) > half) | (F.abs(g.col() - F.col("c0")) > half)
         stops = at.where((F.col("idx") == F.col("idx_ds")) | ((F.col("to_cell") != F.col("cell")) & beyond))
         found = saved(stops.groupBy("cell").agg(F.min_by("idx", "pos").alias("at")), "dmm-found")
         done = found if done is None else done.unionByName(found)
