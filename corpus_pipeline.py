@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from thalweg.llm import langid, mixing, ngramjoin, pieces, pii
 from thalweg.llm.common import WORD, IdFilter, saved
@@ -45,7 +46,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _head(text, words):
     """The first words of a text, up to the end of the last of them."""
     out = []
