@@ -163,6 +163,10 @@ class Codec:
                 self.memo[seg] = got
         return got
 
+    def forget(self) -> None:
+        """At the end of a task, so that a worker that goes on to other work is small."""
+        self.memo, self.older = {}, {}
+
     def learn(self, segs: list[str]) -> None:
         """Put segments into the memory, all at once: their lattices lie behind one
         another, and best scores advance over all of them character by character."""
@@ -364,6 +368,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", giant: int = GIA
                     made = [lists, pa.array(count), pa.array((count > 0).astype(np.int32))]
                     yield pa.RecordBatch.from_arrays([c.slice(lo, k + 1 - lo) for c in batch.columns] + made, [*names, *new])
                     lo, n = k + 1, 0
+        codec.forget()
 
     def cut(batches):
         codec = Codec.of(shared.value)
@@ -396,6 +401,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", giant: int = GIA
                 r = {c: batch.column(c)[i].as_py() for c in ("row", "k", "s", "core", "entries", "exits", "scores")}
                 found = codec.back(r["s"], r["core"], r["entries"], r["exits"], r["scores"])
                 yield pa.RecordBatch.from_arrays([pa.array([r["row"]], pa.int64()), pa.array([r["k"]], pa.int32()), pa.array([[{"entry": e, "ids": x} for e, x in found]], option)], ["row", "k", "options"])
+        codec.forget()
 
     def pick(batches):
         for batch in batches:
