@@ -198,10 +198,10 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
 
     rows = saved(docs.select("did", "th", "text").mapInArrow(cut, MEMBER.rpartition(",")[0]), "stretches")
     where = F.struct("did", "th", "start", "at", "n")
-    classes = rows.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(where).alias("w"))
     # of most stretches the anchor occurs once: they go before anything else is done with them
     keys = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    classes = saved(rows.join(keys, "key", "left_semi").groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(where).alias("w")), "classes")
+    # dealt anew by key and content: the join alone can then be split at frequent anchors
+    classes = saved(rows.join(keys, "key", "left_semi").repartition("key", "content").groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(where).alias("w")), "classes")
     whole = rows.join(classes.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi")
     spans = whole.select("did", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b"))
 
