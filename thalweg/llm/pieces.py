@@ -40,8 +40,8 @@ CHUNK_CHARS, GIANT_CHARS = 1 << 14, 1 << 15
 SEEK_CHARS = 512
 #: Segments that a worker remembers before the older half goes, and the longest that it remembers.
 MEMORY, LONGEST = 200_000, 64
-#: Texts are encoded together until they have so many characters.
-BATCH_CHARS = 1 << 18
+#: Texts are encoded together until they have so many characters, and taken from Arrow so many at a time.
+BATCH_CHARS, BATCH_ROWS = 1 << 18, 1000
 
 
 @dataclass
@@ -355,7 +355,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", giant: int = GIA
 
     def whole(batches):
         codec = Codec.of(shared.value)
-        for batch in batches:
+        for batch in (whole.slice(i, BATCH_ROWS) for whole in batches for i in range(0, whole.num_rows, BATCH_ROWS)):
             texts = batch.column(at).to_pylist()
             lo = n = 0
             for k, t in enumerate(texts):
