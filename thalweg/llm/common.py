@@ -7,6 +7,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,19 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/thalweg-{app}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs that run inside pass at most so many rows at a time to Python: for rows
+    that hold long arrays, of which the default number doesn't fit into memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, a
     lost executor costs one task, and later plans know the table's size."""

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import IdFilter, components, saved
+from thalweg.llm.common import IdFilter, arrow_rows, components, saved
 from thalweg.llm.shingles import SHINGLE_WORDS, shingle_sets
 
 #: The threshold as a fraction: intersection * DEN >= union * NUM.
@@ -40,6 +40,8 @@ BUCKET_KEYS, BUCKETS = 1 << 21, 256
 BLOCK = 256
 #: Bits of a signature: the power of two from 2 n on, within these.
 MIN_BITS, MAX_BITS = 512, 1 << 16
+#: Rows that Python gets at a time: sets and signatures are long.
+ARROW_ROWS = 1000
 NO_ID = -(1 << 63)
 
 
@@ -296,15 +298,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, k: int) -> D
     return saved(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
 
 
-def join_components(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) per row of ``docs`` (doc_id, text).
-
-    component_id is the smallest doc_id of the documents that links lead to, itself
-    included; a document without words is linked with nothing and is its own
-    component.  set_id is equal for equal sets (null for empty ones).  Rows that
-    repeat are linked as copies are.  A null doc_id is never the smallest, so a
-    component of such rows only has a null component_id.
-    """
+def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of documents (did, n, entity, ...), and (entity, component_id)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text")
     described = "did long, n long, entity long, sig binary, prefix binary"
     sets = saved(texts.mapInArrow(_describe(k), described), "sets")
@@ -357,6 +352,20 @@ def join_components(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     classes = entities.select("entity", "rep").join(final, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = saved(classes.join(least, "component").select("entity", "component_id"), "classes")
+    return sets, classes
+
+
+def join_components(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id) per row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id of the documents that links lead to, itself
+    included; a document without words is linked with nothing and is its own
+    component.  set_id is equal for equal sets (null for empty ones).  Rows that
+    repeat are linked as copies are.  A null doc_id is never the smallest, so a
+    component of such rows only has a null component_id.
+    """
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        sets, classes = _classes(docs, k)
     out = sets.select("did", "n", "entity").join(classes, "entity", "left")
     doc_id = F.when(F.col("did") != NO_ID, F.col("did"))
     return out.select(
