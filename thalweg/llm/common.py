@@ -50,6 +50,15 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def limit_arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's number of rows per batch for Python, if it is higher: the
+    default suits numbers, and of whole texts it holds hundreds of MB a task.  For
+    operators that return a frame which runs later, so that it can't be set back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, a
     lost executor costs one task, and later plans know the table's size."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import extended
+from thalweg.llm.common import extended, limit_arrow_rows
 
 #: Bound of the training sample: about so many documents of each language, chosen by hash.
 TRAIN_DOCS_PER_LANG = 3000
@@ -188,6 +188,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     Null texts and those without a letter, and all texts if nothing was learnt,
     are ``und`` with score 0 and an empty set.
     """
+    limit_arrow_rows(docs.sparkSession)
     new = ["lang_pred", "score", "lang_set", "lang_share"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     spark: SparkSession = docs.sparkSession

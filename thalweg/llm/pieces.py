@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import extended, saved
+from thalweg.llm.common import extended, limit_arrow_rows, saved
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: How vocabularies write a space.
@@ -39,7 +39,7 @@ CHUNK_CHARS, GIANT_CHARS = 1 << 14, 1 << 15
 #: How far before its nominal end a chunk may end to meet a position that nothing spans.
 SEEK_CHARS = 512
 #: Segments that a worker remembers before the older half goes, and the longest that it remembers.
-MEMORY, LONGEST = 200_000, 64
+MEMORY, LONGEST = 150_000, 64
 #: Texts are encoded together until they have so many characters, and taken from Arrow so many at a time.
 BATCH_CHARS, BATCH_ROWS = 1 << 18, 1000
 
@@ -346,6 +346,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", giant: int = GIA
     """``docs`` with token_ids, n_tokens and n_chunks in place of columns of these
     names.  Null and empty texts have no tokens and no chunks; texts up to
     ``giant`` characters are one chunk and are encoded where they stand."""
+    limit_arrow_rows(docs.sparkSession)
     new = ["token_ids", "n_tokens", "n_chunks"]
     docs = docs.select(*[c for c in docs.columns if c not in new])
     shared = docs.sparkSession.sparkContext.broadcast(pieces)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import extended, saved
+from thalweg.llm.common import extended, limit_arrow_rows, saved
 
 #: Key of the surrogates; production runs pass their own.
 DEFAULT_KEY = "thalweg-surrogates"
@@ -257,6 +257,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
 
     Only texts that may hold an entity (see HINT) leave their place.
     """
+    limit_arrow_rows(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c != "n_entities"])
     names, at = docs.columns, docs.columns.index(text)
     hint = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
