@@ -46,21 +46,29 @@ ENDINGS = {
 
 _TITLE = "|".join(re.escape(t) for t in sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _NAME = r"[^\W\d_a-z][^\W\d_]+(?:[-'][^\W\d_]+)?"
+#: Seven digits, or four and three separators, are the least that cards, numbers and IPv4 addresses have.
+_DIGITS = r"[0-9][0-9 .()-]{5,}[0-9]"
+#: First parts of keys, and words that announce a secret.
+_KEYS = r"(?:ghp|gho|ghs|glpat|xox[abp]|sk)[-_]"
+_SECRETS = r"token|secret|password|passwd|api[_-]?key|access[_-]?key"
+#: (kind, pattern, hint): the hint, for Java, matches in every text in which the pattern
+#: finds a valid entity with ASCII digits.
 PATTERNS = [
-    ("email", r"(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp|gho|ghs|glpat|xox[abp]|sk)[-_][A-Za-z0-9_-]{16,}"),
-    ("secret", r"(?i:(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<value>[A-Za-z0-9+/_-]{16,}={0,2})"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)"),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"),
-    ("ipv6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})+(?![\w:])"),
-    ("phone", r"(?<![\w.])\+\d{1,3}(?:[ .-]?\(\d{1,5}\)|[ .-]?\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?![\w])|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])"),
-    ("name", rf"(?<!\w)(?P<title>{_TITLE})[ \t]+(?P<name>{_NAME}(?:[ \t]+{_NAME}){{0,2}})"),
+    ("email", r"(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "@"),
+    ("secret", rf"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?<![A-Za-z0-9]){_KEYS}[A-Za-z0-9_-]{{16,}}", rf"AKIA|ASIA|{_KEYS}"),
+    ("secret", rf"(?i:(?<![A-Za-z])(?:{_SECRETS})[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<value>[A-Za-z0-9+/_-]{{16,}}={{0,2}})", rf"(?iu:{_SECRETS})"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
+    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)", _DIGITS),
+    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _DIGITS),
+    ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _DIGITS),
+    ("ipv6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})+(?![\w:])", ":[0-9A-Fa-f]{0,4}:"),
+    ("phone", r"(?<![\w.])\+\d{1,3}(?:[ .-]?\(\d{1,5}\)|[ .-]?\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?![\w])|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])", _DIGITS),
+    ("name", rf"(?<!\w)(?P<title>{_TITLE})[ \t]+(?P<name>{_NAME}(?:[ \t]+{_NAME}){{0,2}})", _TITLE),
 ]
-_ALL = [(kind, re.compile(p)) for kind, p in PATTERNS]
+_ALL = [(kind, re.compile(p)) for kind, p, _ in PATTERNS]
 #: What a text must hold, at least, to have an entity: for leaving most texts alone cheaply.
-HINT = rf"@|[0-9][0-9 .()-]{{5,}}[0-9]|AKIA|ASIA|gh[pos]_|glpat|xox|sk-|[Tt][Oo][Kk][Ee][Nn]|(?i:secret|passw|key)|[0-9A-Fa-f]:[0-9A-Fa-f:]*:|[A-Z]{{2}}[0-9]{{2}}|{_TITLE}"
+#: Digits other than ASCII, and characters that Java doesn't know yet, let a text pass.
+HINT = "|".join(dict.fromkeys([*(h for _, _, h in PATTERNS), r"(?=[^\x00-\x7F])[\p{Nd}\p{Cn}]"]))
 
 
 def _luhn(digits: str) -> bool:
@@ -193,7 +201,7 @@ def surrogate(key: str, kind: str, value: str, draw: int = 0) -> str:
         head = lead[0] if lead else ""
         return head + r.like(value[len(head) :])
     if kind == "secret":
-        lead = re.match(r"AKIA|ASIA|(?:ghp|gho|ghs|glpat|xox[abp]|sk)[-_]", value)
+        lead = re.match(rf"AKIA|ASIA|{_KEYS}", value)
         head = lead[0] if lead else ""
         rest = value[len(head) :]
         if re.fullmatch(r"[0-9a-f]+", rest):
