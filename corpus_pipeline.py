@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component of near-duplicates stays, the smallest
     doc_id; of equal rows one.  Only documents that may go are shuffled."""
     docs = docs.select(*COLUMNS)
-    found = saved(ngramjoin.join_components(docs.select("doc_id", "text")).select("doc_id", "component_id"), "components")
+    found = saved(ngramjoin.join_components(docs.select("doc_id", "text"), count=False).select("doc_id", "component_id"), "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     unsure = IdFilter(gone.union(again), "doc_id")

@@ -110,6 +110,29 @@ def test_jaccard_join(docs, rows, monkeypatch):
     assert ngramjoin.join_components(empty(docs)).collect() == []
 
 
+def test_jaccard_links_are_all_counted(spark, docs, rows, monkeypatch):
+    r = random.Random(6)
+    base = words(r, 200).split(" ")
+    more = []
+    for i in range(60):  # one component, of which many pairs are too far apart
+        w = list(base)
+        for at in r.sample(range(200), r.randint(0, 5)):
+            w[at] = f"other{i}"
+        more.append((1000 + i, " ".join(w[: r.randint(150, 200)])))
+    rows = rows + more + more[:3]
+    sets = [shingles(t) for _, t in rows]
+    links = [[bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    want = sorted(str((d, sum(x) - bool(s))) for (d, _), x, s in zip(rows, links, sets, strict=True))
+    docs = docs.unionByName(spark.createDataFrame(more + more[:3], "doc_id long, text string"))
+    got = lambda: sorted(str(tuple(x)) for x in ngramjoin.join_components(docs).select("doc_id", "n_links").collect())
+    assert got() == want
+    # tiles of several blocks, and shingles a few at a time
+    monkeypatch.setattr(ngramjoin, "BLOCK", 5)
+    monkeypatch.setattr(ngramjoin, "COLUMNS", 7)
+    assert got() == want
+    assert ngramjoin.join_components(empty(docs)).collect() == []
+
+
 def test_signatures_bound_the_overlap():
     r = np.random.default_rng(1)
     for _ in range(200):

@@ -64,7 +64,19 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     lost executor costs one task, and later plans know the table's size."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables that ``saved`` returned, once nothing will read them again: what was
+    made from them must have been saved as well."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()  # Spark removes the files of shuffles when their plans are collected
 
 
 def extended(schema: StructType, ddl: str) -> StructType:

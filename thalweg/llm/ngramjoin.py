@@ -13,8 +13,10 @@ have a Jaccard index of 0.8 or more, exactly.
   signatures allow the overlap: |A xor B| is at least the number of differing
   bits, so 2 |A and B| is at most |A| + |B| less that number.
 
-Components are what the join is for, so pairs inside a known component needn't
-be compared; no pair of different components is left out.
+That gives the components: pairs inside a known component aren't compared for
+them, and no pair of different components is left out.  Every link is inside a
+component, so links are counted there: all members of a component are compared, in
+tiles of the same kind, by the exact sizes of their intersections.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import IdFilter, arrow_rows, components, saved
+from thalweg.llm.common import IdFilter, arrow_rows, components, forget, saved
 from thalweg.llm.shingles import SHINGLE_WORDS, shingle_sets
 
 #: The threshold as a fraction: intersection * DEN >= union * NUM.
@@ -38,6 +40,8 @@ HOT, HOT_KEYS = 256, 1 << 16
 BUCKET_KEYS, BUCKETS = 1 << 21, 256
 #: Entities of a tile's block.
 BLOCK = 256
+#: Shingles of a block where links are counted, and of them those that are counted at a time.
+BLOCK_ITEMS, COLUMNS = 1 << 20, 4096
 #: Bits of a signature: the power of two from 2 n on, within these.
 MIN_BITS, MAX_BITS = 512, 1 << 16
 #: Rows that Python gets at a time: sets and signatures are long.
@@ -240,16 +244,17 @@ def _tiles(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _tiled(rest: DataFrame) -> DataFrame:
-    """Members (key, entity, label, n, sig) as tiles (alone, members).
+def _placed(rest: DataFrame, items: int | None = None) -> DataFrame:
+    """Members (key, entity, n, ...) with each tile t (band, kind, i, j, side) they are in.
 
     Bands of size are so wide that partners are in one band or the next.  A band
-    of a key has blocks of about BLOCK members.  Tiles are a block with itself, two blocks of
-    a band, and a block with one of the band below.  Tiles of a single component
-    are left out.
+    of a key has blocks of about BLOCK members, and of about ``items`` shingles at most.
+    Tiles are a block with itself, two blocks of a band, and a block with one of the
+    band below.
     """
     banded = saved(rest.withColumn("band", F.floor(F.log("n") / float(np.log(DEN / NUM) * 1.0001))), "banded")
-    blocks = saved(banded.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    most = F.ceil(F.count("*") / BLOCK) if items is None else F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / items))
+    blocks = saved(banded.groupBy("key", "band").agg(most.cast("int").alias("blocks")), "blocks")
     near = lambda step, name: blocks.select("key", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
     placed = banded.join(blocks, ["key", "band"]).join(near(1, "lower"), ["key", "band"], "left").join(near(-1, "upper"), ["key", "band"], "left")
     own = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")
@@ -259,7 +264,7 @@ def _tiled(rest: DataFrame) -> DataFrame:
         return F.struct(band.alias("band"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
 
     p, band = F.col("block"), F.col("band")
-    placed = placed.withColumn("block", own).withColumn(
+    return placed.withColumn("block", own).withColumn(
         "t",
         F.explode(
             F.concat(
@@ -269,6 +274,12 @@ def _tiled(rest: DataFrame) -> DataFrame:
             )
         ),
     )
+
+
+def _tiled(rest: DataFrame) -> DataFrame:
+    """Members (key, entity, label, n, sig) as tiles (alone, members).  Tiles of a
+    single component are left out."""
+    placed = _placed(rest)
     members = F.collect_list(F.struct("entity", "label", "n", "sig", F.col("t.side").alias("side")))
     tiles = placed.groupBy("key", F.col("t.band").alias("b"), F.col("t.kind").alias("kind"), F.col("t.i").alias("i"), F.col("t.j").alias("j")).agg(
         members.alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")
@@ -276,11 +287,86 @@ def _tiled(rest: DataFrame) -> DataFrame:
     return tiles.where("lo < hi").select(F.expr("kind = 0 and i = j").alias("alone"), "members")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) of entities whose sets link, by their sorted arrays.  Texts
-    are read again for the entities of these pairs alone."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct().join(entities.select("entity", "fetch"), "entity")
-    ids = saved(ids, "to-verify")
+def link_matrix(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Whether each of the first ``left`` sets links with each set, itself included."""
+    n = np.array([len(s) for s in sets], np.int64)
+    items, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(items, kind="stable")
+    items, of = items[order], of[order]
+    first = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
+    size = np.diff(np.append(first, len(items)))
+    several = np.repeat(size > 1, size)
+    of, column = of[several], np.repeat(np.arange(int((size > 1).sum())), size[size > 1])
+    cut = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + COLUMNS + 1, COLUMNS))
+    both = np.zeros((left, len(sets)), np.float32)
+    for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        if hi > lo:
+            x = np.zeros((len(sets), int(column[hi - 1]) - k * COLUMNS + 1), np.float32)
+            x[of[lo:hi], column[lo:hi] - k * COLUMNS] = 1
+            both += x[:left] @ x.T
+    both = both.astype(np.int64)
+    np.fill_diagonal(both, n[:left])
+    return (both > 0) & (DEN * both >= NUM * (n[:left, None] + n[None, :] - both))
+
+
+def _degrees(batches):
+    """(entity, near): by tile, how many rows have sets that link with an entity's, its own
+    aside.  Rows (key, b, kind, i, j, side, entity, copies, items) come sorted by tile."""
+
+    def counted(tile, rows):
+        rows.sort(key=lambda r: r[0])
+        left = sum(r[0] == 0 for r in rows)
+        alone = tile[2] == 0 and tile[3] == tile[4]
+        if not left or len(rows) < 2 or not alone and left == len(rows):
+            return
+        copies = np.array([r[2] for r in rows], np.int64)
+        ok = link_matrix([np.frombuffer(r[3], np.uint64) for r in rows], left)
+        if alone:
+            np.fill_diagonal(ok, False)
+            near = ok @ copies
+        else:
+            near = np.concatenate((ok[:, left:] @ copies[left:], copies[:left] @ ok[:, left:]))
+        for r, c in zip(rows, near.tolist(), strict=True):
+            if c:
+                out.append((r[1], c))
+
+    def batch_of(out):
+        a, b = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["entity", "near"])
+
+    at, rows, out = None, [], []
+    for batch in batches:
+        for *tile, side, entity, copies, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if tile != at:
+                if rows:
+                    counted(at, rows)
+                at, rows = tile, []
+            rows.append((side, entity, copies, items))
+        if len(out) > 10_000:
+            yield batch_of(out)
+            out = []
+    if rows:
+        counted(at, rows)
+    if out:
+        yield batch_of(out)
+
+
+def _near(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(entity, near) of the members (key, entity, n, copies, fetch) of components: how many
+    rows of other sets link with it.  Entities without any are left out."""
+    sets = _arrays(members.select("entity", "fetch"), docs, k)
+    placed = _placed(members.select("key", "entity", "n", "copies"), BLOCK_ITEMS)
+    tile = ["key", "b", "kind", "i", "j"]
+    rows = placed.select("key", F.col("t.band").alias("b"), "t.kind", "t.i", "t.j", "t.side", "entity", "copies").join(sets, "entity")
+    rows = rows.select(*tile, "side", "entity", "copies", "items").repartition(*tile).sortWithinPartitions(*tile)
+    near = saved(rows.mapInArrow(_degrees, "entity long, near long").groupBy("entity").agg(F.sum("near").alias("near")), "near")
+    forget(sets)
+    return near
+
+
+def _arrays(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(entity, items) of entities with the id of a document that has the set.  Texts are
+    read again for these alone."""
     wanted = IdFilter(ids, "fetch")
 
     def arrays(batches):
@@ -293,20 +379,30 @@ def _verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, k: int) -> D
 
     texts = wanted.through(docs, "did", arrays, "fetch long, entity long, items binary")
     sets = texts.join(ids, ["entity", "fetch"], "left_semi").groupBy("entity").agg(F.any_value("items").alias("items"))
-    sets = saved(sets, "arrays")
+    return saved(sets, "arrays")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) of entities whose sets link, by their sorted arrays."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct().join(entities.select("entity", "fetch"), "entity")
+    ids = saved(ids, "to-verify")
+    sets = _arrays(ids, docs, k)
     both = pairs.join(sets.select(F.col("entity").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("entity").alias("a"), F.col("items").alias("x")), "a")
-    return saved(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+    links = saved(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+    forget(ids, sets)
+    return links
 
 
-def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The sets of documents (did, n, entity, ...), and (entity, component_id)."""
+def _classes(docs: DataFrame, k: int, count: bool) -> tuple[DataFrame, DataFrame]:
+    """The documents (did, n, entity), and (entity, component_id, n_links);
+    n_links is null unless ``count``."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text")
     described = "did long, n long, entity long, sig binary, prefix binary"
     sets = saved(texts.mapInArrow(_describe(k), described), "sets")
     entities = saved(
         sets.where("entity is not null")
         .groupBy("entity")
-        .agg(F.any_value("n").alias("n"), F.min("did").alias("fetch"), F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("rep"), F.any_value("sig").alias("sig")),
+        .agg(F.any_value("n").alias("n"), F.min("did").alias("fetch"), F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("rep"), F.any_value("sig").alias("sig"), F.count("*").alias("copies")),
         "entities",
     )
     total = sets.agg(F.sum(F.octet_length("prefix")).alias("s")).first()["s"] or 0
@@ -333,31 +429,44 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         prefixes = named.where(~affected.holds("did")).select("entity", "prefix").unionByName(again.where("entity is not null").select("entity", "prefix"))
     shared = saved(dealt(prefixes, True).mapInArrow(_shared, "key long, entity long, pivot long"), "shared")
 
+    rows = saved(sets.select("did", "n", "entity"), "rows")
+    forget(sets)
     side = lambda x: entities.select(F.col("entity").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     stars = shared.where("entity <> pivot").select(F.col("pivot").alias("a"), F.col("entity").alias("b")).distinct()
     stars = stars.join(side("b"), "b").where("nb > 0").join(side("a"), "a").where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)")
     stars = saved(stars.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded, "a long, b long"), "stars")
     links = _verify(stars, texts, entities, k)
+    forget(stars)
 
     labels = saved(components(links).withColumnRenamed("node", "entity"), "labels")
     labelled = saved(
         shared.where("entity <> pivot").select("key", "entity").join(labels, "entity", "left").select("key", "entity", F.coalesce("component", "entity").alias("label")), "labelled"
     )
+    forget(shared, labels)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rest = labelled.join(mixed, "key", "left_semi").join(entities.select("entity", "n", "sig"), "entity")
     pairs = saved(_tiled(rest).mapInArrow(_tiles, "a long, b long").distinct(), "tile-pairs")
     links = links.unionByName(_verify(pairs, texts, entities, k))
 
-    final = components(links).withColumnRenamed("node", "entity")
-    classes = entities.select("entity", "rep").join(final, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
+    final = saved(components(links).withColumnRenamed("node", "entity"), "final")
+    forget(labelled, pairs)
+    n_links = F.lit(None).cast("long")
+    known = entities.select("entity", "rep", "copies")
+    if count:
+        members = saved(final.withColumnRenamed("component", "key").join(entities.select("entity", "n", "copies", "fetch"), "entity"), "members")
+        known = known.join(_near(members, texts, k), "entity", "left")
+        n_links = F.col("copies") - 1 + F.coalesce("near", F.lit(0))
+    classes = known.withColumn("n_links", n_links).join(final, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = saved(classes.join(least, "component").select("entity", "component_id"), "classes")
-    return sets, classes
+    classes = saved(classes.join(least, "component").select("entity", "component_id", "n_links"), "classes")
+    return rows, classes
 
 
-def join_components(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) per row of ``docs`` (doc_id, text).
+def join_components(docs: DataFrame, k: int = SHINGLE_WORDS, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, n_links, component_id, set_id) per row of ``docs`` (doc_id, text).
 
+    n_links is the number of other rows whose sets link with the row's, copies
+    included; without ``count`` it is left out, for those who need components only.
     component_id is the smallest doc_id of the documents that links lead to, itself
     included; a document without words is linked with nothing and is its own
     component.  set_id is equal for equal sets (null for empty ones).  Rows that
@@ -365,12 +474,13 @@ def join_components(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     component of such rows only has a null component_id.
     """
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
-        sets, classes = _classes(docs, k)
+        sets, classes = _classes(docs, k, count)
     out = sets.select("did", "n", "entity").join(classes, "entity", "left")
     doc_id = F.when(F.col("did") != NO_ID, F.col("did"))
     return out.select(
         doc_id.alias("doc_id"),
         F.col("n").alias("n_shingles"),
+        *[F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] * count,
         F.when(F.col("entity").isNull(), doc_id).otherwise(F.col("component_id")).alias("component_id"),
         F.col("entity").alias("set_id"),
     )
