@@ -275,3 +275,23 @@ def test_hint_lets_every_pattern_pass(spark):
     assert not [r["text"] for r in docs.where(~F.col("text").rlike(pii.HINT)).collect() if pii.find(r["text"])]
     got = [r["text"] for r in pii.pseudonymise(docs.where(F.col("text").contains(key))).collect()]
     assert len(got) == 19 and not any(key in t for t in got) and any(t.startswith("sk_") for t in got)
+
+
+def test_surrogates_follow_mentions_and_formats(spark):
+    text = "Mrs. Anna Keller met Mr. Martin Martin. Anna Keller said: Keller's, KELLER and Martin Martin left; Kellerman, keller_1 stay. Herr Weiss' hat, Frau Lang's dog, Lang. anna.keller@mail.example.com Anna-Keller"
+    numbers = "4539 1488 0343 6467, 4539148803436467; DE89 3704 0044 0532 0130 00, DE89370400440532013000; +1 (212) 555-0142, 212-555-0142, +12125550142, +49 30 1234567, +49-30-1234567, \u0662\u0661\u0662-\u0665\u0665\u0665-\u0660\u0661\u0664\u0662"
+    docs = spark.createDataFrame([(1, text), (2, numbers), (3, "Anna Keller without a title")], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in pii.pseudonymise(docs).collect()}
+    out = got[1]["text"]
+    anna, keller, martin, last, said = re.match(r"Mrs\. (\w+) (\w+) met Mr\. (\w+) (\w+)\. (.*)", out).groups()
+    assert said.startswith(f"{anna} {keller} said: {keller}'s, {keller.upper()} and {martin} {last} left; Kellerman, keller_1 stay.")
+    assert re.search(r"Frau (\w+)'s dog, \1\.", said) and said.endswith(f" {anna}-{keller}") and martin != last
+    assert not re.search(r"\b(Anna|Keller|KELLER|Martin|Lang)\b", out) and got[3]["text"] == "Anna Keller without a title"
+    cards, ibans, phones = got[2]["text"].split("; ")
+    same = lambda x: len({re.sub(r"\W", "", y) for y in x.split(", ")}) == 1
+    assert same(cards) and same(ibans) and re.match(r"\d{4} \d{4} \d{4} \d{4}, \d{16}$", cards) and re.match(r"DE\d\d \d{4} ", ibans)
+    p = phones.split(", ")
+    assert re.match(r"\+1 \(\d{3}\) \d{3}-\d{4}$", p[0]) and re.match(r"\+49 30|\+49 \d\d \d{7}$", p[3])
+    d = ["".join(str(int(c)) for c in x if c.isdecimal()) for x in p]
+    assert d[0] == d[2] == "1" + d[1] == "1" + d[5] and d[3] == d[4] and p[5][0] in "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"
+    assert d[0] != "12125550142" and got[2]["n_entities"] == 10

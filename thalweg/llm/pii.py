@@ -45,7 +45,8 @@ ENDINGS = {
 }
 
 _TITLE = "|".join(re.escape(t) for t in sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_NAME = r"[^\W\d_a-z][^\W\d_]+(?:[-'][^\W\d_]+)?"
+_NAME = r"[^\W\d_a-z][^\W\d_]+(?:[-'](?!s\b)[^\W\d_]+)?"
+_MENTION, _AFTER = re.compile(rf"(?<!\w){_NAME}(?!\w)"), re.compile(rf"[ \t]+({_NAME})")
 #: Seven digits, or four and three separators, are the least that cards, numbers and IPv4 addresses have.
 _DIGITS = r"[0-9][0-9 .()-]{5,}[0-9]"
 #: First parts of keys, and words that announce a secret.
@@ -103,11 +104,48 @@ def _valid(kind: str, value: str) -> bool:
     return True
 
 
+def _ascii(value: str) -> str:
+    return "".join(str(int(c)) if c.isdecimal() else c for c in value)
+
+
+def _key(kind: str, value: str) -> str:
+    """What an entity is known by, however it is written.  Telephone numbers without
+    a country code have the form of those of country 1."""
+    if kind in ("card", "ssn", "phone"):
+        digits = re.sub(r"\D", "", _ascii(value))
+        return digits if kind != "phone" else f"+{digits}" if value[0] == "+" else f"+1{digits}"
+    if kind == "iban":
+        return _ascii(value).replace(" ", "")
+    return value.lower() if kind in ("email", "ipv6") else value
+
+
+def _mentions(text: str, named: list[tuple[int, int, str, str]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
+    """Occurrences, outside of ``taken``, of words of the names found in the text.  A
+    word that is both a given and a last name is given if another name follows; of
+    several genders the nearest one before counts, or else the first."""
+    known: dict[str, list[tuple[int, str]]] = {}
+    for a, _, kind, word in sorted(named):
+        known.setdefault(word, []).append((a, kind))
+    for m in _MENTION.finditer(text):
+        whole = m[0].casefold() in known
+        for w in [m] if whole else re.finditer(r"[^-']+", m[0]):
+            a, b = (w.start() + (not whole) * m.start(), w.end() + (not whole) * m.start())
+            uses = known.get(text[a:b].casefold())
+            if not uses or any(a < y and x < b for x, y in taken):
+                continue
+            after = _AFTER.match(text, b)
+            given = bool(after) and after[1].casefold() in known
+            uses = [u for u in uses if (u[1] != "name") == given] or uses
+            kind = next((kind for at, kind in reversed(uses) if at < a), uses[0][1])
+            yield a, b, kind, text[a:b].casefold()
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, key) of a text's entities, in order and apart.  Of
     overlapping ones the kind listed first wins.  Names come word by word, as
     ``name:<gender>`` for given names and ``name`` for the last word of a name,
-    so that a person is the same one whether or not the given name is there."""
+    so that a person is the same one whether or not the given name is there, and once
+    found with a title are also found without.  Keys leave out how numbers are written."""
     if not text:
         return []
     out: list[tuple[int, int, str, str]] = []
@@ -122,11 +160,13 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 a, b = m.span("value") if "value" in pattern.groupindex else m.span()
                 if not _valid(kind, text[a:b]):
                     continue
-                spans = [(a, b, kind, text[a:b].lower() if kind in ("email", "ipv6") else text[a:b])]
+                spans = [(a, b, kind, _key(kind, text[a:b]))]
             a, b = spans[0][0], spans[-1][1]
             if not any(a < y and x < b for x, y in taken):
                 taken.append((a, b))
                 out += spans
+    if named := [f for f in out if f[2].startswith("name")]:
+        out += _mentions(text, named, taken)
     return sorted(out)
 
 
@@ -172,6 +212,10 @@ def _script(word: str) -> str:
     return "greek" if any("Ͱ" <= c <= "Ͽ" for c in word) else "latin"
 
 
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+
+
 def surrogate(key: str, kind: str, value: str, draw: int = 0) -> str:
     """The surrogate of an entity (its key as ``find`` gives it) in the given draw."""
     r = _Stream(key, kind, value, str(draw))
@@ -197,7 +241,7 @@ def surrogate(key: str, kind: str, value: str, draw: int = 0) -> str:
     if kind == "ipv6":
         return ":".join(f"{r.below(1 << 16):x}" for _ in range(8))
     if kind == "phone":
-        lead = re.match(r"\+\d{1,3}", value)
+        lead = _COUNTRY.match(value)
         head = lead[0] if lead else ""
         return head + r.like(value[len(head) :])
     if kind == "secret":
@@ -247,12 +291,21 @@ def assign(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     raise RuntimeError("no distinct surrogates were found")
 
 
+def _laid(was: str, new: str) -> str:
+    """The letters and digits of ``new``, the last ones if there are more, in the
+    places and the kind of digits of ``was``."""
+    chars = iter([c for c in new if c.isalnum()][-sum(c.isalnum() for c in was) :])
+    return "".join((chr(ord(c) - int(c) + int(x)) if c.isdecimal() else x) if c.isalnum() and (x := next(chars)) else c for c in was)
+
+
 def _replace(text: str, found: list[tuple[int, int, str, str]], of: dict[tuple[str, str], str]) -> str:
     out, at = [], 0
     for a, b, kind, value in found:
         new = of[kind, value]
         if kind.startswith("name"):
             new = new.upper() if text[a:b].isupper() else new.capitalize()
+        elif kind in ("card", "iban", "phone", "ssn"):
+            new = _laid(text[a:b], new)
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]])
