@@ -295,3 +295,13 @@ def test_surrogates_follow_mentions_and_formats(spark):
     d = ["".join(str(int(c)) for c in x if c.isdecimal()) for x in p]
     assert d[0] == d[2] == "1" + d[1] == "1" + d[5] and d[3] == d[4] and p[5][0] in "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"
     assert d[0] != "12125550142" and got[2]["n_entities"] == 10
+
+
+def test_compressed_addresses():
+    for a in ("fe80::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8::1", "2001:DB8:0:0:0:0:0:1", "1:2:3:4:5:6:7:8", "2001:db8::"):
+        for text in (f"from {a} on", f"from {a}, on" if a.endswith(":") else f"from {a}: on", f"[{a}]:80", f"{a}%eth0", f"{a}/64", f"{a}.", a):
+            assert [text[x:y] for x, y, kind, _ in pii.find(text) if kind == "ipv6"] == [a], text
+    assert pii.find("2001:DB8:0:0:0:0:0:1")[0][3] == pii.find("2001:db8::1")[0][3]
+    for text in ("12:30:45", "f :: Int", "std::abs ::abcx", "aa:bb:cc:dd:ee:ff", "1:2:3:4:5:6:7:8:9", "a::b::c"):
+        assert not pii.find(text), text
+    assert pii.surrogate("k", "ipv6", "fe80::1").startswith("fe80::")

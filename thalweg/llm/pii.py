@@ -62,7 +62,7 @@ PATTERNS = [
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)", _DIGITS),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _DIGITS),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _DIGITS),
-    ("ipv6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})+(?![\w:])", ":[0-9A-Fa-f]{0,4}:"),
+    ("ipv6", r"(?<![\w:])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]*(?:[0-9A-Fa-f]|::)(?!\w|:\w|::)", ":[0-9A-Fa-f]{0,4}:"),
     ("phone", r"(?<![\w.])\+\d{1,3}(?:[ .-]?\(\d{1,5}\)|[ .-]?\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?![\w])|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])", _DIGITS),
     ("name", rf"(?<!\w)(?P<title>{_TITLE})[ \t]+(?P<name>{_NAME}(?:[ \t]+{_NAME}){{0,2}})", _TITLE),
 ]
@@ -96,9 +96,10 @@ def _valid(kind: str, value: str) -> bool:
         return _mod97(value.replace(" ", "")) == 1
     if kind in ("ipv4", "ipv6"):
         try:
-            ipaddress.ip_address(value)
+            address = ipaddress.ip_address(value)
         except ValueError:
             return False
+        return kind == "ipv4" or not address.is_unspecified  # "::" alone is nobody's
     if kind == "phone":
         return 7 <= sum(c.isdigit() for c in value) <= 15
     return True
@@ -116,7 +117,9 @@ def _key(kind: str, value: str) -> str:
         return digits if kind != "phone" else f"+{digits}" if value[0] == "+" else f"+1{digits}"
     if kind == "iban":
         return _ascii(value).replace(" ", "")
-    return value.lower() if kind in ("email", "ipv6") else value
+    if kind == "ipv6":
+        return str(ipaddress.ip_address(value))
+    return value.lower() if kind == "email" else value
 
 
 def _mentions(text: str, named: list[tuple[int, int, str, str]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
@@ -239,7 +242,8 @@ def surrogate(key: str, kind: str, value: str, draw: int = 0) -> str:
         private = ipaddress.ip_address(value).is_private
         return ".".join(["10"] * private + [str(1 + r.below(223))] * (not private) + [str(r.below(256)) for _ in range(3)])
     if kind == "ipv6":
-        return ":".join(f"{r.below(1 << 16):x}" for _ in range(8))
+        lead = ["fe80", "0", "0", "0"] if ipaddress.ip_address(value).is_link_local else []
+        return str(ipaddress.ip_address(":".join([*lead, *(f"{r.below(1 << 16):x}" for _ in range(8 - len(lead)))])))
     if kind == "phone":
         lead = _COUNTRY.match(value)
         head = lead[0] if lead else ""
