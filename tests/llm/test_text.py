@@ -126,9 +126,11 @@ def test_jaccard_links_are_all_counted(spark, docs, rows, monkeypatch):
     docs = docs.unionByName(spark.createDataFrame(more + more[:3], "doc_id long, text string"))
     got = lambda: sorted(str(tuple(x)) for x in ngramjoin.join_components(docs).select("doc_id", "n_links").collect())
     assert got() == want
-    # tiles of several blocks, and shingles a few at a time
+    # tiles of several blocks; many sharers of a shingle, also within a batch
     monkeypatch.setattr(ngramjoin, "BLOCK", 5)
-    monkeypatch.setattr(ngramjoin, "COLUMNS", 7)
+    assert got() == want
+    for name in ("SHARERS", "BATCH_SHARERS", "HELD"):
+        monkeypatch.setattr(ngramjoin, name, 3)
     assert got() == want
     assert ngramjoin.join_components(empty(docs)).collect() == []
 
@@ -139,7 +141,7 @@ def test_signatures_bound_the_overlap():
         a = np.unique(r.integers(0, 3000, r.integers(1, 900)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         b = np.unique(np.concatenate((a[: r.integers(0, len(a) + 1)], r.integers(0, 3000, r.integers(0, 60)).astype(np.uint64))))
         if len(b) and ngramjoin.linked(a, b):
-            sa, sb = (np.frombuffer(ngramjoin.signature(x), np.uint64) for x in (a, b))
+            sa, sb = (ngramjoin.signature(x, 1024) for x in (a, b))
             assert ngramjoin.may_link(len(a), sa, np.array([len(b)]), sb[None, :])[0]
 
 

@@ -4,10 +4,11 @@ connected components on link tables."""
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made, set as checkpoint folder and removed at exit.
+    Only where the session names none and runs on one machine (tests) a temporary
+    folder is made, set as checkpoint folder and removed at exit.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         own = tempfile.mkdtemp(prefix="thalweg-")
         atexit.register(shutil.rmtree, own, True)
@@ -59,10 +62,30 @@ def limit_arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_cleaned: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean_up(spark: SparkSession, app: str, path: str) -> None:
+    """Remove a run's tables when Python ends, unless the session has ended before."""
+    with suppress(Exception):
+        if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+            _remove(spark, path)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, a
-    lost executor costs one task, and later plans know the table's size."""
-    path = scratch(df.sparkSession, tag)
+    lost executor costs one task, and later plans know the table's size.  ``forget``
+    deletes it; what is left goes when the driver ends."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    if (run := path.rpartition("/")[0]) not in _cleaned:
+        _cleaned.add(run)
+        atexit.register(_clean_up, spark, spark.sparkContext.applicationId, run)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -73,8 +96,7 @@ def forget(*frames: DataFrame) -> None:
     """Delete tables that ``saved`` returned, once nothing will read them again: what was
     made from them must have been saved as well."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(df.sparkSession, df._scratch)
     if frames:
         frames[0].sparkSession._jvm.System.gc()  # Spark removes the files of shuffles when their plans are collected
 
@@ -111,6 +133,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = large.join(low, "v").select("m", "u", "v")
         small = small.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
         after = saved(small, "small-star")
+        forget(edges, large)
         # settled: every node has one parent, and no parent has a parent
         parents = after.groupBy("v").agg(F.count("*").alias("n"))
         roots_below = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
@@ -124,18 +147,64 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
 
 
-#: Bits of an id filter: its size is fixed, whatever the number of ids.
-FILTER_BITS = 1 << 23
+#: Bits of an id filter for each id, and its bits at least and at most (32 MB).
+BITS_PER_ID, MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 16, 1 << 28
+#: Bytes of text that are worked on at a time, and rows.
+SLICE_BYTES, SLICE_ROWS = 1 << 22, 1000
+
+
+def bits_for(n: int, most: int, least: int = MIN_FILTER_BITS) -> int:
+    """The power of two from n on, within limits."""
+    return min(most, max(least, 1 << max(0, int(n) - 1).bit_length()))
+
+
+def bytes_of(column) -> list[bytes]:
+    """The UTF-8 bytes of an Arrow column of texts; none for null."""
+    import pyarrow as pa
+
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(batch, column: int):
+    """Parts of a batch of bounded length in the bytes of a column (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size, dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right"))
+        hi = min(max(hi, lo + 1), lo + SLICE_ROWS)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """The names, with underscores before them as needed to differ from those taken
+    (in any case: Spark doesn't tell them apart)."""
+    taken = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 class IdFilter:
-    """A fixed-size hash filter of a column's values: ``rows`` keeps every row
-    whose value is in the column, and few others as long as the column has far
-    fewer distinct values than FILTER_BITS.  Used to read the texts of some
-    documents without a shuffle of all texts; callers must bear with extra rows.
+    """A hash filter of a column's values: ``holds`` keeps every row whose value is in
+    the column, and few others.  Used to read the texts of some documents without a
+    shuffle of all texts; callers must bear with extra rows.
+
+    Its size follows the number of rows up to MAX_FILTER_BITS, as it is broadcast.  With
+    more ids than that it lets more rows through, in the end all, and what follows is a
+    join of all texts by shuffle.
     """
 
     def __init__(self, df: DataFrame, column: str) -> None:
+        self.bits = bits_for(df.count() * BITS_PER_ID, MAX_FILTER_BITS)
         h = self._hash(column) + 1  # bitmap functions count from 1
         parts = (
             df.select(h.alias("h"))
@@ -143,17 +212,16 @@ class IdFilter:
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m"))
             .collect()
         )
-        table = bytearray(FILTER_BITS // 8)
+        table = bytearray(self.bits // 8)
         for r in parts:
             at = (r["k"] - 1) * len(r["m"])
             table[at : at + len(r["m"])] = r["m"]
         self.table = df.sparkSession.sparkContext.broadcast(bytes(table))
 
-    @staticmethod
-    def _hash(column: str) -> F.Column:
-        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    def _hash(self, column) -> F.Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
 
-    def holds(self, column: str) -> F.Column:
+    def holds(self, column) -> F.Column:
         table = self.table
 
         @F.pandas_udf("boolean")
@@ -164,24 +232,3 @@ class IdFilter:
             return h.__class__((bits[v >> 3] >> (v & 7)) & 1 == 1)
 
         return found(self._hash(column))
-
-    def through(self, df: DataFrame, column: str, run, schema):
-        """``df`` filtered by ``column`` and mapped by ``run`` (as by mapInArrow) in one
-        Python worker; ``run`` gets the columns of ``df``."""
-        table, n = self.table, len(df.columns)
-
-        def both(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            def held():
-                bits = np.frombuffer(table.value, np.uint8)
-                for batch in batches:
-                    v = batch.column(n).to_numpy()
-                    at = np.flatnonzero((bits[v >> 3] >> (v & 7)) & 1)
-                    if len(at):
-                        yield batch.select(list(range(n))).take(pa.array(at))
-
-            return run(held())
-
-        return df.withColumn("_h", self._hash(column)).mapInArrow(both, schema)

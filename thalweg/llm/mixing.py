@@ -59,23 +59,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     )
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, n_rows) per row of ``docs``.
+def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) per row of ``docs``, and its
+    columns ``keep`` (numbers or strings).
 
     size is the text's number of words (null or empty: 0), taken how many words
     of the document the mix takes, repeats counted: whole epochs times its size
     plus, for the last epoch, what lies before the cut of its source.  taken sums
     to the floor of the source's target exactly.  The key is the MD5 of
-    ``seed`` and doc_id, so reruns agree; null doc_ids share one key, and rows
-    that agree in doc_id stand in order of size, which leaves the result the
-    same whatever the order of equal rows.  An empty table gives no rows.
+    ``seed`` and doc_id, or of the text's hash where that is null, so reruns agree;
+    rows that agree in doc_id stand in order of size and of ``keep``, which leaves
+    the result the same whatever the order of equal rows.  An empty table gives no rows.
     """
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")))
     narrow = saved(
         docs.select(
             F.col("doc_id"),
             F.col("source"),
             n_words(F.col("text")).alias("size"),
-            F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"),
+            *keep,
+            F.md5(F.concat(F.lit(seed), own)).alias("_key"),
         ),
         "mix",
     )
@@ -88,7 +91,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     inner = inner.join(outer, inner["source"].eqNullSafe(outer["_s"]) & (inner["_d1"] == outer["_e1"])).select(
         F.col("source").alias("_s"), F.col("_d1").alias("_e1"), F.col("_d2").alias("_e2"), (F.col("_p1") + F.col("_p2")).alias("_p")
     )
-    local = Window.partitionBy("source", "_d1", "_d2").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("source", "_d1", "_d2").orderBy("_key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("_p3", F.coalesce(F.sum("size").over(local), F.lit(0)))
     placed = placed.join(inner, placed["source"].eqNullSafe(inner["_s"]) & (placed["_d1"] == inner["_e1"]) & (placed["_d2"] == inner["_e2"])).drop("_s", "_e1", "_e2")
     targets = saved(source_targets(narrow, weights, max_epochs), "targets").withColumnRenamed("source", "_s")
@@ -100,6 +103,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
         "doc_id",
         "source",
         "size",
+        *keep,
         "source_size",
         "target",
         (whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), part - running))).cast("long").alias("taken"),
