@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thalweg.llm import shingles as shingles_module
 from thalweg.llm import iblt, langid, mixing, ngramjoin, pii, suffix
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,6 +71,26 @@ def test_repeats_of_large_groups(docs, monkeypatch):
     assert suffix.remove_repeats(empty(docs)).collect() == []
 
 
+def test_long_texts_are_cut_at_any_window(rows, monkeypatch):
+    """In this process: workers don't see changed constants."""
+    texts = [(t or "").encode() for _, t in rows]
+
+    def windows():
+        return sorted((i, start + j, start + at, anchor) for i, start, n, at, anchor in suffix.stretches(texts) for j in range(n))
+
+    whole = windows()
+    monkeypatch.setattr(shingles_module, "CHUNK_BYTES", 1000)
+    assert windows() == whole and len(whole) > 10_000
+
+
+def test_long_texts_have_the_same_shingles(monkeypatch):
+    r = random.Random(1)
+    texts = [" ".join(r.choice(["aa", "Bcd", "é日", "x" * r.randint(1, 90)]) for _ in range(r.randint(0, 60))).encode() for _ in range(100)]
+    want = [s.tolist() for s in shingles_module.shingle_sets(texts)]
+    monkeypatch.setattr(shingles_module, "CHUNK_BYTES", 37)
+    assert [s.tolist() for s in shingles_module.shingle_sets(texts)] == want
+
+
 def test_maximal_repeats_have_all_occurrences():
     texts = [b"aaXbbb", b"caXbbd", b"aaXbbc", b"eeXffg"]
     found = {(x, r, tuple(sorted(who))) for x, r, who in suffix.maximal_repeats([(t, 2) for t in texts], 3)}
@@ -103,10 +124,10 @@ def test_jaccard_join(docs, rows, monkeypatch):
     key = lambda r: (r[0] is None, r)
     names = ["doc_id", "n_shingles", "component_id"]
     assert sorted((tuple(r) for r in ngramjoin.join_components(docs).select(*names).collect()), key=key) == sorted(want, key=key)
-    # hot shingles, and tiles of several blocks
-    monkeypatch.setattr(ngramjoin, "HOT", 3)
-    monkeypatch.setattr(ngramjoin, "BLOCK", 2)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 2)  # tiles of several blocks
     assert sorted((tuple(r) for r in ngramjoin.join_components(docs).select(*names).collect()), key=key) == sorted(want, key=key)
+    without = ngramjoin.join_components(docs, count=False)
+    assert sorted((tuple(r) for r in without.select(*names).collect()), key=key) == sorted(want, key=key)
     assert ngramjoin.join_components(empty(docs)).collect() == []
 
 
@@ -126,15 +147,67 @@ def test_jaccard_links_are_all_counted(spark, docs, rows, monkeypatch):
     docs = docs.unionByName(spark.createDataFrame(more + more[:3], "doc_id long, text string"))
     got = lambda: sorted(str(tuple(x)) for x in ngramjoin.join_components(docs).select("doc_id", "n_links").collect())
     assert got() == want
-    # tiles of several blocks; many sharers of a shingle, also within a batch
-    monkeypatch.setattr(ngramjoin, "BLOCK", 5)
-    assert got() == want
-    for name in ("SHARERS", "BATCH_SHARERS", "HELD"):
-        monkeypatch.setattr(ngramjoin, name, 3)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 5)  # tiles of several blocks
     assert got() == want
+    part = lambda count: sorted(str(tuple(x)) for x in ngramjoin.join_components(docs, count=count).select("doc_id", "component_id").collect())
+    assert part(True) == part(False)
     assert ngramjoin.join_components(empty(docs)).collect() == []
 
 
+@pytest.mark.parametrize(("sharers", "batch", "held", "hot"), [(512, 64, 1 << 23, 8), (3, 64, 1 << 23, 0), (3, 2, 1 << 23, 2), (4, 3, 50, 1)])
+def test_clusters_hold_all_links(monkeypatch, sharers, batch, held, hot):
+    """In this process: every linked pair is in one cluster, however entries are thinned."""
+    import pyarrow as pa
+
+    for name, value in (("SHARERS", sharers), ("BATCH_SHARERS", batch), ("HELD", held), ("HOT", hot)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    r = np.random.default_rng(7)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in r.integers(0, 10**6, r.integers(8, 120))]
+        for _ in range(r.integers(1, 25)):
+            w = list(base)
+            for at in r.integers(0, len(w), r.integers(0, max(2, len(w) // 30))):
+                w[at] = f"x{r.integers(0, 10**6)}"
+            texts.append(" ".join(w[r.integers(0, 3) :]))
+    table = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)], ["did", "th", "text"])
+    by_bucket = lambda out: pa.Table.from_batches(out).combine_chunks().sort_by("bucket").to_batches()
+    hot_rows = pa.Table.from_batches(list(ngramjoin._counted(by_bucket(list(ngramjoin._region(4, 5)([table.select(["text"])]))))))
+    bits = 1 << 16
+    bitmap = np.zeros(bits // 8, np.uint8)
+    at = ngramjoin._bit(hot_rows["bucket"].to_numpy(), hot_rows["slot"].to_numpy(), bits)
+    np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    shared = type("Shared", (), {"value": (bitmap, bits)})
+    made = pa.Table.from_batches(list(ngramjoin._describe(4, 5, shared)([table.slice(i, 40) for i in range(0, len(texts), 40)])))
+    entries = made.filter(made["bucket"].is_valid()).select(["bucket", "data"])
+    links = [(a, b) for x in ngramjoin._clustered(by_bucket(entries.to_batches())) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)]
+    links += [(a, b) for x in made.to_pylist() if x["a"] is not None for a, b in zip(x["a"], x["b"], strict=True)]
+    root, node = ngramjoin._forest(*(np.array(c, np.int64) for c in zip(*links, strict=True)))
+    cluster = dict(zip(node.tolist(), root.tolist(), strict=True))
+    sets = ngramjoin.shingle_sets([t.encode() for t in texts])
+    ids = [ngramjoin.entity_of(s) for s in sets]
+    n = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if ids[i] != ids[j] and ngramjoin.linked(a, sets[j]):
+                n += 1
+                assert cluster.get(ids[i], ids[i]) == cluster.get(ids[j], ids[j])
+    assert n > 100
+
+
+def test_tiles_find_all_links():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = sorted((np.unique(np.concatenate((base[r.random(300) < 0.9], r.integers(0, 1 << 62, 5).astype(np.uint64)))) for _ in range(60)), key=len)
+    sets.append(np.unique(r.integers(0, 1 << 62, 500).astype(np.uint64)))
+    side = r.integers(0, 2, len(sets))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if ngramjoin.linked(sets[i], sets[j])}
+    for alone in (True, False):
+        i, j = ngramjoin.tile_links(sets, side, alone)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == {p for p in want if alone or side[p[0]] != side[p[1]]}
+    assert 0 < len(want) < 60 * 59 / 2
+
+
 def test_signatures_bound_the_overlap():
     r = np.random.default_rng(1)
     for _ in range(200):

@@ -14,7 +14,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """What is removed, and the text that stays (a character that is cut shows as U+FFFD)."""
+    out = suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=True)
+    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import IdFilter, saved
+from thalweg.llm import shingles
+from thalweg.llm.common import IdFilter, bytes_of, forget, saved, slices
 from thalweg.llm.shingles import _VALUE, chunks, mix, powers
 
 MIN_LENGTH = 400
@@ -42,14 +43,26 @@ def stretches(texts: list[bytes], length: int = MIN_LENGTH, gram: int = GRAM) ->
     """(text, first window, number of windows, place of the anchor from the first
     window on, hash of the anchor) of every run of windows with one anchor."""
     gram = min(gram, length)
-    w = length - gram + 1
+    step = max(shingles.CHUNK_BYTES, length)
     for lo, hi in chunks(texts):
-        part = texts[lo:hi]
+        if hi - lo > 1 or len(texts[lo]) <= step:
+            yield from _runs(texts[lo:hi], lo, 0, length, gram)
+            continue
+        # a long text by slices that share no window; a run that is cut is two runs, whose
+        # bytes have less than a window in common
+        for at in range(0, len(texts[lo]) - length + 1, step):
+            yield from _runs([texts[lo][at : at + step + length - 1]], lo, at, length, gram)
+
+
+def _runs(part: list[bytes], lo: int, at: int, length: int, gram: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """``stretches`` of texts numbered from ``lo``, whose first byte has the number ``at``."""
+    w = length - gram + 1
+    if part:
         ends = np.cumsum([len(t) for t in part])
         raw = np.frombuffer(b"".join(part), np.uint8)
         n = len(raw)
         if n < length:
-            continue
+            return
         up, down = powers(n + 1)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * up[:-1], dtype=np.uint64)))
         h = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
@@ -74,7 +87,7 @@ def stretches(texts: list[bytes], length: int = MIN_LENGTH, gram: int = GRAM) ->
         first, size = first[keep], size[keep]
         of = text[first]
         base = np.concatenate(([0], ends))[of]
-        for row in zip((lo + of).tolist(), (first - base).tolist(), size.tolist(), (least[first] - first).tolist(), h[least[first]].view(np.int64).tolist(), strict=True):
+        for row in zip((lo + of).tolist(), (first - base + at).tolist(), size.tolist(), (least[first] - first).tolist(), h[least[first]].view(np.int64).tolist(), strict=True):
             yield row
 
 
@@ -152,6 +165,11 @@ SPAN = "did long, th long, a long, b long"
 MEMBER = "key long, content long, did long, th long, start long, at int, n int, data binary"
 
 
+def _differing(classes: DataFrame) -> DataFrame:
+    """(key, k) of anchors with k > 1 contents, of which some occur once."""
+    return classes.groupBy("key").agg(F.count("*").alias("k"), F.min("copies").alias("least")).where("k > 1 and least = 1").select("key", "k")
+
+
 def _blocks(width: int, length: int):
     """Divides stretches into blocks of windows: those whose distance to the anchor
     has one quotient by ``width``.  The key is the bytes they share."""
@@ -180,8 +198,8 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     is the same for equal rows only.  Spans overlap and may repeat."""
 
     def cut(batches):
-        for batch in batches:
-            texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            texts = bytes_of(batch.column(2))
             did, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for i, start, n, at, anchor in stretches(texts, length):
@@ -198,14 +216,17 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
 
     rows = saved(docs.select("did", "th", "text").mapInArrow(cut, MEMBER.rpartition(",")[0]), "stretches")
     where = F.struct("did", "th", "start", "at", "n")
+    # counted by anchor and content, so that frequent anchors are in many tasks; joins by anchor
+    # have a written table on either side, so that they can be split where one is frequent
+    counted = saved(rows.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(where).alias("w")), "counted")
     # of most stretches the anchor occurs once: they go before anything else is done with them
-    keys = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    # dealt anew by key and content: the join alone can then be split at frequent anchors
-    classes = saved(rows.join(keys, "key", "left_semi").repartition("key", "content").groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(where).alias("w")), "classes")
+    keys = saved(counted.groupBy("key").agg(F.sum("copies").alias("k")).where("k > 1").select("key"), "keys")
+    classes = saved(counted.join(keys, "key", "left_semi"), "classes")
+    forget(counted, keys)
     whole = rows.join(classes.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi")
     spans = whole.select("did", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b"))
 
-    mixed = classes.groupBy("key").agg(F.count("*").alias("k"), F.min("copies").alias("least")).where("k > 1 and least = 1").select("key", "k")
+    mixed = saved(_differing(classes), "differing")
     part = saved(classes.join(mixed, "key").select("key", "content", "copies", "w.*", "k"), "mixed")
     wanted = IdFilter(part, "did")
     places = part.groupBy("did", "th").agg(F.collect_list(F.struct("key", "content", "copies", "start", "at", "n", "k")).alias("places"))
@@ -239,7 +260,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
         classes = saved(blocks.groupBy("key", "content").agg(F.sum("own").alias("copies"), F.min(where).alias("w")), "block-classes")
         same = blocks.where("own = 1").join(classes.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi")
         spans = spans.unionByName(same.select("did", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")))
-        mixed = classes.groupBy("key").agg(F.count("*").alias("k"), F.min("copies").alias("least")).where("k > 1 and least = 1").select("key", "k")
+        mixed = saved(_differing(classes), "differing")
         part = classes.join(mixed, "key").select("key", "content", "copies", "w.*", "k")
         data = blocks.select("key", "content", "did", "th", "start", "at", "n", "data").dropDuplicates(["key", "content"]).select("key", "content", "data")
         now = saved(part.join(data, ["key", "content"]), "refined")
@@ -261,7 +282,9 @@ def remove_repeats(docs: DataFrame, length: int = MIN_LENGTH, with_kept: bool =
     (doc_id, text), and with ``with_kept`` the remaining bytes as kept.
 
     Texts are UTF-8 bytes, null is empty; the rest of a text isn't scanned again.
-    Equal rows repeat each other; a null doc_id is a document as any other.
+    Equal rows repeat each other; a null doc_id is a document as any other.  Texts
+    may be of any length and are read in slices; those under ``length`` bytes stay as
+    they are.  Other columns aren't read; no rows give no rows.
     """
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
