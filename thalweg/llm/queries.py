@@ -44,7 +44,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = pieces.Pieces.load()
     both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
-    return both.select("doc_id", "n_tokens", "n_chunks", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "token_ids")
+    return both.select("doc_id", "n_tokens", "n_chunks", "n_states", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "token_ids")
 
 
 def op7_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
