@@ -147,3 +147,19 @@ def test_pipeline(spark, tmp_path):
     ids = {x["doc_id"] for x in got.collect()}
     assert ids and not ids & {40, 41, 42, 43, 44}
     assert got.where(F.size("token_ids") != F.col("n_tokens")).isEmpty()
+
+
+def test_leaves_are_split_again(spark, monkeypatch):
+    """Small leaves, dense ones that can't be split, and blocks: the same links."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((900, 12))
+    x[:150] = x[0] + 0.05 * r.standard_normal((150, 12))  # nearly all links of one another
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.9
+    np.fill_diagonal(links, False)
+    for name, value in (("LEAF", 32), ("MAX_DEPTH", 2), ("LARGE", 60), ("BLOCK", 50)):
+        monkeypatch.setattr(vectors, name, value)
+    found = {q["vec_id"]: q["n_links"] for q in vectors.near_duplicates(table).collect()}
+    found = np.array([found[i] for i in range(len(x))])
+    assert (found <= links.sum(axis=1)).all() and found.sum() >= 0.98 * links.sum()
