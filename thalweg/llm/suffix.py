@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm import shingles
-from thalweg.llm.common import IdFilter, bytes_of, forget, saved, slices
+from thalweg.llm.common import IdFilter, arrow_rows, bytes_of, forget, saved, slices
 from thalweg.llm.shingles import _VALUE, chunks, mix, powers
 
 MIN_LENGTH = 400
@@ -36,6 +36,8 @@ MIN_LENGTH = 400
 GRAM = 32
 #: Stretches of an anchor that one array holds; beyond it, windows per block by level.
 GROUP, BLOCKS = 128, (64, 16, 4, 1)
+#: Groups, and texts, that Python gets at a time.
+GROUPS_AT_ONCE, TEXTS_AT_ONCE = 64, 1000
 NO_ID = -(1 << 63)
 
 
@@ -214,17 +216,17 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
         types = [pa.int64()] * 5 + [pa.int32()] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in MEMBER.split(", ")[:7]])
 
-    rows = saved(docs.select("did", "th", "text").mapInArrow(cut, MEMBER.rpartition(",")[0]), "stretches")
+    with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
+        rows = saved(docs.select("did", "th", "text").mapInArrow(cut, MEMBER.rpartition(",")[0]), "stretches")
     where = F.struct("did", "th", "start", "at", "n")
-    # counted by anchor and content, so that frequent anchors are in many tasks; joins by anchor
-    # have a written table on either side, so that they can be split where one is frequent
-    counted = saved(rows.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(where).alias("w")), "counted")
-    # of most stretches the anchor occurs once: they go before anything else is done with them
-    keys = saved(counted.groupBy("key").agg(F.sum("copies").alias("k")).where("k > 1").select("key"), "keys")
-    classes = saved(counted.join(keys, "key", "left_semi"), "classes")
-    forget(counted, keys)
+    # of most stretches the anchor occurs once: they go before anything else is done with them;
+    # joins by anchor have a written table on either side, so that they can be split where one is frequent
+    keys = saved(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "keys")
+    classes = saved(rows.join(keys, "key", "left_semi").groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(where).alias("w")), "classes")
+    forget(keys)
     whole = rows.join(classes.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi")
-    spans = whole.select("did", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b"))
+    spans = saved(whole.select("did", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")), "whole-spans")
+    forget(rows)
 
     mixed = saved(_differing(classes), "differing")
     part = saved(classes.join(mixed, "key").select("key", "content", "copies", "w.*", "k"), "mixed")
@@ -243,11 +245,14 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     fetched = "key long, content long, copies long, did long, th long, start long, at int, n int, k long, data binary"
-    now = saved(held.select("did", "th", "text", "places").mapInArrow(fetch, fetched), "fetched")
+    with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
+        now = saved(held.select("did", "th", "text", "places").mapInArrow(fetch, fetched), "fetched")
+    forget(part, classes)
     member = F.struct("did", "th", "start", "at", "copies", "data")
     for width in (*BLOCKS, 0):
         groups = now.where(F.col("k") <= GROUP).groupBy("key").agg(F.collect_list(member).alias("group"))
-        spans = spans.unionByName(saved(groups.select("group", F.lit(length)).mapInArrow(_found, SPAN), "spans"))
+        with arrow_rows(docs.sparkSession, GROUPS_AT_ONCE):
+            spans = spans.unionByName(saved(groups.select("group", F.lit(length)).mapInArrow(_found, SPAN), "spans"))
         if not width:
             break
         large = now.where(F.col("k") > GROUP)
