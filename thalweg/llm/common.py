@@ -125,15 +125,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the joins can be split at hot nodes
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         # now every link (u, v) has u < v; small-star works on the smaller neighbours
         large = saved(large, "large-star")
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = saved(large.groupBy("v").agg(F.min("u").alias("m")), "low")
         small = large.join(low, "v").select("m", "u", "v")
         small = small.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
         after = saved(small, "small-star")
-        forget(edges, large)
+        forget(edges, least, large, low)
         # settled: every node has one parent, and no parent has a parent
         parents = after.groupBy("v").agg(F.count("*").alias("n"))
         roots_below = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import extended, limit_arrow_rows
+from thalweg.llm.common import extended, fresh, limit_arrow_rows
 
 #: Bound of the training sample: about so many documents of each language, chosen by hash.
 TRAIN_DOCS_PER_LANG = 3000
@@ -190,10 +190,11 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     """
     limit_arrow_rows(docs.sparkSession)
     new = ["lang_pred", "score", "lang_set", "lang_share"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    frame = docs.select(*kept, F.col("text").alias("_text"))
+    (given,) = fresh([*kept, *new], "given")
+    frame = docs.select(*kept, F.col("text").alias(given))
     types = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
 
     def predict(batches):

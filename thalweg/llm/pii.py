@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import extended, limit_arrow_rows, saved
+from thalweg.llm.common import arrow_rows, extended, fresh, limit_arrow_rows, saved
 
 #: Key of the surrogates; production runs pass their own.
 DEFAULT_KEY = "thalweg-surrogates"
 #: Rounds of drawing again; from ROOMIER on, surrogates may be longer than the original.
 MAX_ROUNDS, ROOMIER = 64, 6
+#: Texts that Python gets at a time.
+TEXTS_AT_ONCE = 1000
 
 # Titles by gender, and syllables by script of the names that are made up.
 TITLES = {
@@ -50,14 +52,16 @@ _MENTION, _AFTER = re.compile(rf"(?<!\w){_NAME}(?!\w)"), re.compile(rf"[ \t]+({_
 #: Seven digits, or four and three separators, are the least that cards, numbers and IPv4 addresses have.
 _DIGITS = r"[0-9][0-9 .()-]{5,}[0-9]"
 #: First parts of keys, and words that announce a secret.
-_KEYS = r"(?:ghp|gho|ghs|glpat|xox[abp]|sk)[-_]"
+_STARTS = "ghp|gho|ghs|glpat|xox[abp]|sk"
+_KEYS = rf"(?:{_STARTS})[-_]"
 _SECRETS = r"token|secret|password|passwd|api[_-]?key|access[_-]?key"
 #: (kind, pattern, hint): the hint, for Java, matches in every text in which the pattern
-#: finds a valid entity with ASCII digits.
+#: finds a valid entity with ASCII digits.  All hints begin with one of FIRST, which is
+#: tried before them; the words of secrets don't and are looked for apart.
 PATTERNS = [
     ("email", r"(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "@"),
-    ("secret", rf"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?<![A-Za-z0-9]){_KEYS}[A-Za-z0-9_-]{{16,}}", rf"AKIA|ASIA|{_KEYS}"),
-    ("secret", rf"(?i:(?<![A-Za-z])(?:{_SECRETS})[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<value>[A-Za-z0-9+/_-]{{16,}}={{0,2}})", rf"(?iu:{_SECRETS})"),
+    ("secret", rf"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?<![A-Za-z0-9]){_KEYS}[A-Za-z0-9_-]{{16,}}", rf"AKIA|ASIA|(?<={_STARTS})[-_]"),
+    ("secret", rf"(?i:(?<![A-Za-z])(?:{_SECRETS})[\"']?[ \t]*[=:][ \t]*[\"']?)(?P<value>[A-Za-z0-9+/_-]{{16,}}={{0,2}})", None),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)", _DIGITS),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _DIGITS),
@@ -67,9 +71,18 @@ PATTERNS = [
     ("name", rf"(?<!\w)(?P<title>{_TITLE})[ \t]+(?P<name>{_NAME}(?:[ \t]+{_NAME}){{0,2}})", _TITLE),
 ]
 _ALL = [(kind, re.compile(p)) for kind, p, _ in PATTERNS]
-#: What a text must hold, at least, to have an entity: for leaving most texts alone cheaply.
-#: Digits other than ASCII, and characters that Java doesn't know yet, let a text pass.
-HINT = "|".join(dict.fromkeys([*(h for _, _, h in PATTERNS), r"(?=[^\x00-\x7F])[\p{Nd}\p{Cn}]"]))
+FIRST = "[@0-9A-ZГΚ:_-]"
+HINT = f"(?={FIRST})(?:" + "|".join(dict.fromkeys(h for _, _, h in PATTERNS if h)) + ")"
+#: Digits other than ASCII, and characters that Java doesn't know yet.
+_OTHER_DIGITS = r"[\p{Nd}\p{Cn}&&[^\x00-\x7F]]"
+
+
+def may_hold(text) -> F.Column:
+    """What a text must hold, at least, to have an entity: for leaving most texts alone
+    cheaply.  True for every text in which ``find`` finds something, false for null."""
+    c = F.col(text)
+    secret = (F.contains(c, F.lit("=")) | F.contains(c, F.lit(":"))) & c.rlike(rf"(?iu:{_SECRETS})")
+    return F.coalesce(c.rlike(HINT) | secret | c.rlike(_OTHER_DIGITS), F.lit(False))
 
 
 def _luhn(digits: str) -> bool:
@@ -320,26 +333,29 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     a column of that name.  Texts without entities, null and empty ones included,
     come back as they are with n_entities 0; repeated rows are all returned.
 
-    Only texts that may hold an entity (see HINT) leave their place.
+    Only texts that may hold an entity (see ``may_hold``) leave their place.  No rows
+    give no rows; long texts are searched whole.
     """
     limit_arrow_rows(docs.sparkSession)
-    docs = docs.select(*[c for c in docs.columns if c != "n_entities"])
+    docs = docs.select(*[c for c in docs.columns if c.lower() != "n_entities"])
     names, at = docs.columns, docs.columns.index(text)
-    hint = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    hint = may_hold(text)
+    row, spans, of_row = fresh([*names, "n_entities"], "row", "found", "of")
     entity = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string()), ("value", pa.string())])
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[dict(zip("ab", f[:2], strict=True), kind=f[2], value=f[3]) for f in find(t.as_py())] for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(entity))], [*names, "_found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(entity))], [*names, spans])
 
-    schema = extended(docs.schema, "_found array<struct<a:int,b:int,kind:string,value:string>>")
-    held = saved(docs.where(hint).mapInArrow(detect, schema).withColumn("_row", F.monotonically_increasing_id()), "entities")
-    each = held.select("_row", F.explode("_found").alias("f")).select("_row", "f.kind", "f.value").distinct()
+    schema = extended(docs.schema, f"`{spans}` array<struct<a:int,b:int,kind:string,value:string>>")
+    with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
+        held = saved(docs.where(hint).mapInArrow(detect, schema).withColumn(row, F.monotonically_increasing_id()), "entities")
+    each = held.select(row, F.explode(spans).alias("f")).select(row, "f.kind", "f.value").distinct()
     entities = saved(each.select("kind", "value").distinct(), "distinct-entities")
     table = assign(entities, key)
-    pairs = each.join(table, ["kind", "value"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("_of"))
-    joined = held.join(pairs, "_row", "left")
+    pairs = each.join(table, ["kind", "value"]).groupBy(row).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(of_row))
+    joined = held.join(pairs, row, "left")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,5 +367,5 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], [*names, "n_entities"])
 
-    changed = joined.select(*names, "_found", "_of").mapInArrow(replace, extended(docs.schema, "n_entities int"))
+    changed = joined.select(*names, spans, of_row).mapInArrow(replace, extended(docs.schema, "n_entities int"))
     return docs.where(~hint).withColumn("n_entities", F.lit(0)).unionByName(changed)
