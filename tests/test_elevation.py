@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from thalweg.functions.grid import GridSpec
-from thalweg.operators.elevation import adjust_profile, filled_surface, priority_flood, slope, spread
+from thalweg.operators import depressions
+from thalweg.operators.elevation import adjust_profile, fill_depressions, filled_surface, slope, spread
 
+# The published example (F5 in FIXTURES.md).
 DEM = np.array(
     [
         [15, 15, 14, 15, 12, 6, 12],
@@ -26,37 +28,93 @@ CODES = [
 ]
 
 
-def test_depressions():
-    filled, codes = priority_flood(DEM)
+def filled(spark, z, tile=2048, **options):
+    grid = GridSpec(*z.shape, tile=tile)
+    cells = spark.createDataFrame([(i, float(v)) for i, v in enumerate(z.ravel()) if not np.isnan(v)], "idx long, elev double")
+    rows = fill_depressions(cells, grid, **options).orderBy("idx").collect()
+    level = np.array([np.nan if r["elev"] is None else r["elev"] for r in rows]).reshape(z.shape)
+    return level, np.array([r["code"] for r in rows]).reshape(z.shape)
+
+
+def test_depressions(spark):
+    level, codes = filled(spark, DEM)
     want = DEM.copy()
     want[1:4, 2] = 11
-    assert (filled == want).all() and codes.tolist() == CODES
-    lone, _ = priority_flood(DEM, outlets="min")
+    assert (level == want).all() and codes.tolist() == CODES
+    level, codes = filled(spark, DEM, tile=3)
+    assert (level == want).all() and codes.tolist() == CODES
+    lone, _ = filled(spark, DEM, outlets="min")
     want[0, 5] = 12
     assert (lone == want).all()
-    kept, _ = priority_flood(DEM, max_depth=2)
-    assert (kept == DEM).all()
-    four, codes4 = priority_flood(DEM, connectivity=4)
+    kept, codes = filled(spark, DEM, max_depth=2, tile=3)
+    assert (kept == DEM).all() and codes[3, 2] == 0
+    four, codes4 = filled(spark, DEM, connectivity=4)
     assert four.tolist() == [[15, 15, 14, 15, 12, 6, 12], [14, 14, 14, 14, 15, 17, 15], [15, 15, 14, 14, 14, 15, 15], [16, 17, 14, 16, 15, 7, 5], [19, 18, 19, 18, 17, 15, 14]]
     assert set(np.unique(codes4)) <= {0, 1, 4, 16, 64}
     holes = DEM.copy()
     holes[3, 5:] = np.nan
-    _, codes = priority_flood(holes)
+    _, codes = filled(spark, holes)
     assert (codes[3, 5:] == 247).all() and codes[2, 4] == 0
 
 
+def lowest_ways_out(z, start, steps):
+    """Spill levels by relaxing cells one at a time."""
+    w = np.where(start, z, np.inf)
+    moved = True
+    while moved:
+        moved = False
+        for r, c in np.argwhere(~np.isnan(z)):
+            for dr, dc in steps:
+                a, b = r + dr, c + dc
+                if 0 <= a < z.shape[0] and 0 <= b < z.shape[1] and not np.isnan(z[a, b]) and max(w[a, b], z[r, c]) < w[r, c]:
+                    w[r, c], moved = max(w[a, b], z[r, c]), True
+    return w
+
+
+def test_levels_flats_and_codes():
+    """In this process: levels by definition; codes never lead up, and end at start cells."""
+    r = np.random.default_rng(0)
+    step = {code: s for s, code in depressions.CODE.items()}
+    for _ in range(60):
+        z = r.integers(0, r.integers(2, 30), (r.integers(2, 14), r.integers(2, 14))).astype(float)
+        z[r.random(z.shape) < 0.1] = np.nan
+        start = ~np.isnan(z) & (r.random(z.shape) < 0.1)
+        steps = depressions.steps_of(int(r.choice([4, 8])))
+        w = depressions.spill_levels(z, np.where(start, z, np.inf), steps)
+        assert np.array_equal(w, lowest_ways_out(z, start, steps))
+        number = np.arange(z.size).reshape(z.shape)
+        root = np.where(depressions.beside_lower(w, steps), depressions.EXIT, np.where(start, number, depressions.FAR))
+        root, far = depressions.flat_distances(w, root, np.where(root < depressions.FAR, 0, depressions.FAR), steps)
+        code = depressions.directions(w, root, far, start, number, steps)
+        for at in map(tuple, np.argwhere(np.isfinite(w))):
+            for _ in range(z.size):
+                if not code[at]:
+                    break
+                to = at[0] + step[code[at]][0], at[1] + step[code[at]][1]
+                assert w[to] <= w[at]
+                at = to
+            assert start[at] and not code[at]
+
+
 def test_distributed_surface(spark):
     r = np.random.default_rng(1)
     z = r.random((14, 17)).round(2)
     grid = GridSpec(14, 17, tile=5)
-    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(z.ravel()) if i % 31 != 30], "idx long, elev double")
-    holes = z.copy()
-    holes.flat[[i for i in range(z.size) if i % 31 == 30]] = np.nan
-    want, _ = priority_flood(holes)
+    z.flat[[i for i in range(z.size) if i % 31 == 30]] = np.nan
+    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(z.ravel()) if not np.isnan(v)], "idx long, elev double")
+    inner = ~np.isnan(np.pad(z, 1, constant_values=np.nan))
+    whole = np.ones(z.shape, bool)
+    for dr in (0, 1, 2):
+        for dc in (0, 1, 2):
+            whole &= inner[dr : dr + 14, dc : dc + 17]
+    want = lowest_ways_out(z, ~whole & ~np.isnan(z), depressions.steps_of(8))
     got = {x["idx"]: x["elev"] for x in filled_surface(table, grid).collect()}
-    assert got == pytest.approx({i: float(v) for i, v in enumerate(want.ravel()) if not np.isnan(v)}, abs=1e-6)
+    assert got == {i: v for i, v in enumerate(want.ravel()) if not np.isnan(z.flat[i])}
+    one, many = filled(spark, z), filled(spark, z, tile=5)
+    assert np.array_equal(one[0], many[0], equal_nan=True) and np.array_equal(one[1], many[1])
 
 
+# The published profiles (F6 in FIXTURES.md).
 @pytest.mark.parametrize(
     "before, after",
     [

@@ -1,190 +1,48 @@
-"""Elevation: depressions, slopes, height above drainage, floodplains, corrections."""
+"""Elevation: slopes, height above drainage, floodplains, corrections."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.functions.encodings import D8_STEPS
 from thalweg.functions.grid import NEIGHBOURS, GridSpec, with_neighbours
+from thalweg.operators.depressions import fill_depressions, filled_surface
 from thalweg.operators.network import FlowNetwork
-from thalweg.plans import ascend, saved
-
-#: D8 code of a cell whose water goes by (row step, column step).
-_CODE = {step: code for code, step in D8_STEPS.items()}
-
-
-def _as_grid(table: pa.Table, grid: GridSpec, column: str, dtype=np.float64) -> np.ndarray:
-    out = np.full(grid.n, np.nan, dtype)
-    out[table.column("idx").to_numpy()] = table.column(column).to_numpy()
-    return out.reshape(grid.nrow, grid.ncol)
-
-
-def _edge(valid: np.ndarray, steps) -> np.ndarray:
-    padded = np.pad(valid, 1)
-    whole = np.ones(valid.shape, bool)
-    for dr, dc in steps:
-        whole &= padded[1 + dr : 1 + dr + valid.shape[0], 1 + dc : 1 + dc + valid.shape[1]]
-    return valid & ~whole
-
-
-def priority_flood(z: np.ndarray, outlets: str = "edge", seeds=None, max_depth: float = -1.0, elv_max: float | None = None, connectivity: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Filled elevations and D8 codes of a grid (NaN: missing).
-
-    Cells leave a queue from low to high; ties go to cells that aren't seeds, then
-    by row and column.  A neighbour below is raised, and drains to the cell that
-    reached it first.  With ``max_depth`` >= 0, depressions of that depth or more
-    stay and their bottom is a pit.
-    """
-    if connectivity not in (4, 8):
-        raise ValueError("connectivity is 4 or 8")
-    steps = [s for s in NEIGHBOURS if connectivity == 8 or 0 in s]
-    nrow, ncol = z.shape
-    z = z.astype(np.float32)
-    missing = np.isnan(z)
-    settled = missing.copy()
-    code = np.where(missing, 247, 0).astype(np.uint8)
-    raised = np.zeros_like(z)
-    if seeds is not None:
-        start = np.zeros(z.shape, bool)
-        start.flat[np.asarray(seeds, np.int64)] = True
-    else:
-        start = _edge(~missing, steps)
-        if elv_max is not None:
-            start &= z <= elv_max
-        if not start.any():
-            raise ValueError("there is no cell to start from")
-    queue = [(float(z[r, c]), 1, int(r), int(c)) for r, c in np.argwhere(start)]
-    if outlets == "min":
-        queue = [min(queue)]
-        start[:] = False
-        start[queue[0][2:]] = True
-    heapq.heapify(queue)
-    waiting = start
-    while queue:
-        level, _, r0, c0 = heapq.heappop(queue)
-        for dr, dc in [*steps[: len(steps) // 2], (0, 0), *steps[len(steps) // 2 :]]:
-            r, c = r0 + dr, c0 + dc
-            if not (0 <= r < nrow and 0 <= c < ncol) or settled[r, c]:
-                continue
-            low = float(np.float32(level) - z[r, c])
-            if max_depth >= 0 and low >= max_depth:
-                # too deep to fill: the cell becomes a start, and what is around it is looked at again
-                heapq.heappush(queue, (float(z[r, c]), 0, r, c))
-                waiting[r, c] = True
-                box = np.s_[max(r - 1, 0) : r + 2, max(c - 1, 0) : c + 2]
-                if connectivity == 8:
-                    settled[box] = missing[box]
-                else:
-                    for er, ec in [(0, 0), *steps]:
-                        if 0 <= r + er < nrow and 0 <= c + ec < ncol:
-                            settled[r + er, c + ec] = missing[r + er, c + ec]
-                continue
-            if max_depth >= 0 and raised[r, c] > 0:
-                waiting[r, c], raised[r, c] = False, 0
-            if low > 0:
-                raised[r, c] = low
-            if not waiting[r, c]:
-                heapq.heappush(queue, (float(z[r, c] + raised[r, c]), 0, r, c))
-                waiting[r, c] = True
-            settled[r, c] = True
-            code[r, c] = _CODE.get((-dr, -dc), 0)
-    return z + raised, code
-
-
-def fill_depressions(elevation: DataFrame, grid: GridSpec, outlets: str = "edge", pits: DataFrame | None = None, max_depth: float = -1.0, elv_max: float | None = None, connectivity: int = 8) -> DataFrame:
-    """(idx, elev, code) of every grid cell: filled elevations and D8 codes.
-
-    The codes on flats depend on one global queue, so this runs in one task; for
-    the surface alone see ``filled_surface``, which is distributed.
-    """
-    seeds = None if pits is None else [r["idx"] for r in pits.select("idx").distinct().collect()]
-
-    def flood(table: pa.Table) -> pa.Table:
-        z, code = priority_flood(_as_grid(table, grid, "elev"), outlets, seeds, max_depth, elv_max, connectivity)
-        flat = z.ravel().astype(np.float64)
-        return pa.table({"idx": np.arange(grid.n), "elev": pa.array(flat, mask=np.isnan(flat)), "code": code.ravel().astype(np.int16)})
-
-    valid = elevation.where("elev is not null and not isnan(elev)").select(F.col("idx").cast("long"), F.col("elev").cast("double"))
-    return valid.groupBy(F.lit(0).alias("_g")).applyInArrow(flood, "idx long, elev double, code short")
-
-
-def filled_surface(elevation: DataFrame, grid: GridSpec, connectivity: int = 8) -> DataFrame:
-    """(idx, elev): the lowest level at which water leaves each cell over the edge of
-    the valid area.  Each round floods tiles from their rims inside one task each;
-    levels on the rims sink until nothing changes."""
-    steps = [s for s in NEIGHBOURS if connectivity == 8 or 0 in s]
-    valid = elevation.where("elev is not null and not isnan(elev)").select(F.col("idx").cast("long"), F.col("elev").cast("double").alias("z"))
-    marked = with_neighbours(valid, grid, "z", steps)
-    edge = sum(F.col(f"n{k}").isNotNull().cast("int") for k in range(len(steps))) < len(steps)
-    now = saved(marked.select("idx", "z", F.when(edge, F.col("z")).otherwise(F.lit(float("inf"))).alias("w")).withColumn("block", grid.block()), "flood")
-    across = -(-grid.ncol // grid.tile)
-
-    def relax(table: pa.Table) -> pa.Table:
-        """Lowest levels in a tile, given those of its cells and of cells around it."""
-        idx, z, w = (table.column(c).to_numpy() for c in ("idx", "z", "w"))
-        own = table.column("own").to_numpy()
-        at = {int(i): k for k, i in enumerate(idx)}
-        level, queue = w.copy(), [(v, k) for k, v in enumerate(w) if np.isfinite(v)]
-        heapq.heapify(queue)
-        while queue:
-            v, k = heapq.heappop(queue)
-            if v > level[k]:
-                continue
-            r, c = divmod(int(idx[k]), grid.ncol)
-            for dr, dc in steps:
-                if 0 <= r + dr < grid.nrow and 0 <= c + dc < grid.ncol and (j := at.get((r + dr) * grid.ncol + c + dc)) is not None and own[j]:
-                    new = max(v, z[j])
-                    if new < level[j]:
-                        level[j] = new
-                        heapq.heappush(queue, (new, j))
-        return pa.table({"idx": idx[own], "z": z[own], "w": level[own], "block": table.column("to").to_numpy()[own], "moved": level[own] < w[own]})
-
-    while True:
-        ring = [F.when(grid.inside(grid.row() + dr, grid.col() + dc), (F.floor((grid.row() + dr) / grid.tile) * across + F.floor((grid.col() + dc) / grid.tile)).cast("long")) for dr, dc in NEIGHBOURS]
-        sent = now.withColumn("to", F.explode(F.array_distinct(F.array(F.col("block"), *ring)))).where("to is not null").withColumn("own", F.col("to") == F.col("block"))
-        after = saved(sent.select("idx", "z", "w", "to", "own").groupBy("to").applyInArrow(relax, "idx long, z double, w double, block long, moved boolean"), "flood")
-        if after.where("moved").isEmpty():
-            return after.select("idx", F.col("w").alias("elev"))
-        now = after.drop("moved")
+from thalweg.plans import saved
 
+__all__ = ["adjust_elevation", "adjust_profile", "dig_4connectivity", "fill_depressions", "filled_surface", "floodplains", "hand", "slope", "spread"]
 
 def adjust_profile(z: np.ndarray) -> np.ndarray:
     """A profile from up- to downstream made monotone with the least change.
 
-    At each new sink the bumps so far are removed in the cheapest way: digging
-    from the sink before to here, filling up to the last peak, or levelling both at
-    a height in between.
+    Nothing may lie below the profile's end.  Then bumps are levelled one after the
+    other, from up- to downstream.  A bump reaches from a sink, a cell before a rise,
+    to the first cell behind the next sink.  It is cut down to its sink, or what is
+    before it is filled up to its top, or a stretch around the rise is set to a height
+    that occurs in the bump; whichever changes the heights least, in case of doubt
+    what was named first, the higher stretch before the lower.
     """
-    z = np.maximum(np.array(z), z[-1])
-    n = len(z)
-    peak, peak_z, sink, sink_z = -1, z[0], -1, z[0]
-    before, before2 = z[0], z[0]
-    for i in range(n):
-        here = z[i]
-        if here >= peak_z:
-            peak, peak_z = i, here
-        new_sink = here > before and before2 >= before
-        if new_sink or (sink >= 0 and i == n - 1):
-            if sink >= 0:
-                options = [(sink, np.minimum(sink_z, z[sink:i])), (0, np.maximum(peak_z, z[:peak]))]
-                lo, hi = 0, peak
-                for level in np.unique(z[sink + 1 : i])[::-1][1:]:
-                    lo = next((j for j in range(lo, sink + 1) if z[j] <= level), sink)
-                    hi = next((j for j in range(hi, i + 1) if z[j] <= level), i)
-                    options.append((lo, np.full(max(peak + 1, hi) - lo, level, z.dtype)))
-                cost = [float(np.abs(z[a : a + len(v)] - v).sum()) for a, v in options]
-                a, v = options[int(np.argmin(cost))]
-                z[a : a + len(v)] = v
-            peak, peak_z = i, z[i]
-            sink = max(0, i - 1)
-            sink_z = z[sink]
-        before2 = before if before2 != before else before2
-        before = here
+    z = np.maximum(z, z[-1])
+    rise = np.flatnonzero(np.diff(z) > 0)
+    sinks = rise[(rise == 0) | (z[rise - 1] >= z[rise])]
+    for sink, end in zip(sinks, np.append(sinks[1:] + 1, len(z) - 1)[: len(sinks)], strict=True):
+        bump = z[sink + 1 : end + 1]
+        top = end - int(np.argmax(bump[::-1]))
+        # (first cell, cell behind the last one, floor, ceiling) of the ways to level it
+        ways = [(sink, end, -np.inf, z[sink]), (0, top, z[top], np.inf)]
+        for height in np.unique(bump[:-1])[-2::-1]:
+            if height < z[sink]:
+                break
+            before = int(np.argmax(z[: sink + 1] <= height))
+            below = np.flatnonzero(z[top : end + 1] <= height)
+            behind = top + int(below[0]) if len(below) else end
+            ways.append((before, max(top + 1, behind), height, height))
+        made = [np.clip(z[i:j], floor, ceiling) for i, j, floor, ceiling in ways]
+        cost = [float(np.abs(z[i:j] - new).sum()) for (i, j, _, _), new in zip(ways, made, strict=True)]
+        best = int(np.argmin(cost))
+        z[ways[best][0] : ways[best][1]] = made[best]
     return z
 
 
