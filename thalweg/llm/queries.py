@@ -14,9 +14,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is removed, and the text that stays (a character that is cut shows as U+FFFD)."""
+    """What is removed, and the text that stays (null where a character is cut in two)."""
     out = suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=True)
-    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
+    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", F.try_validate_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.join_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngramjoin.join_components(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("set_id")
 
 
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
