@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions.grid import GridSpec
+from thalweg.operators import network
 from thalweg.operators.network import FlowNetwork
 from thalweg.operators.streams import classic_order
 from thalweg.plans import ascend, saved
@@ -16,11 +17,11 @@ from thalweg.plans import ascend, saved
 def basins(net: FlowNetwork, outlets: DataFrame | None = None, streams: DataFrame | None = None) -> DataFrame:
     """(idx, basin): every cell with the label of the next outlet downstream.
 
-    ``outlets`` has idx and, if it has labels of its own, id (never 0); without it
+    ``outlets`` has idx (or x and y) and, if it has labels of its own, id (never 0); without it
     pits are outlets.  Labels default to 1, 2, ... in order of idx.  With
     ``streams`` (idx) outlets are first moved down to a stream.
     """
-    outlets = net.pits() if outlets is None else outlets
+    outlets = net.pits() if outlets is None else net.points(outlets)
     if "id" not in outlets.columns:
         outlets = numbered(outlets.select("idx").distinct(), "idx")
     elif not outlets.where("id = 0 or id is null").isEmpty():
@@ -64,8 +65,7 @@ def interbasin(net: FlowNetwork, region: DataFrame, streams: DataFrame | None =
 
 def _outlets_to_basins(net: FlowNetwork, outlets: DataFrame) -> DataFrame:
     """Outlets numbered from down- to upstream (rank, then idx), and their basins."""
-    order = Window.orderBy("rank", "idx")
-    ids = outlets.join(net.rank(), "idx").select("idx", F.row_number().over(order).cast("long").alias("basin"))
+    ids = network.numbered(outlets.join(net.rank(), "idx"), "rank", "pos").select("idx", (F.col("pos") + 1).cast("long").alias("basin"))
     return label_down(net, saved(ids, "outlets"), "basin")
 
 

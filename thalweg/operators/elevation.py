@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.grid import NEIGHBOURS, GridSpec, with_neighbours
-from thalweg.operators.depressions import fill_depressions, filled_surface
+from thalweg.operators.depressions import FAR, Tiles, fill_depressions, filled_surface
 from thalweg.operators.network import FlowNetwork
 from thalweg.plans import saved
 
@@ -149,32 +149,58 @@ def floodplains(net: FlowNetwork, elevation: DataFrame, uparea: DataFrame, upa_m
     return ok.select("idx", F.when(F.col("h").isNull(), 0).when(inside, 1).otherwise(0).cast("int").alias("floodplain"))
 
 
+def nearest(dist: np.ndarray, source: np.ndarray, friction: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and sources of the cells of an array (friction NaN: not entered), from
+    those known so far: offers go from cells that changed to their neighbours until none
+    changes.  Of equal distances the smaller source wins."""
+    rows, cols = dist.shape
+    d, s, ok = dist.ravel().copy(), source.ravel().copy(), ~np.isnan(friction.ravel())
+    front = np.flatnonzero(np.isfinite(d) & ok)
+    while len(front):
+        changed = []
+        r, c = front // cols, front % cols
+        for dr, dc in NEIGHBOURS:
+            inside = (r + dr >= 0) & (r + dr < rows) & (c + dc >= 0) & (c + dc < cols)
+            at = front[inside]
+            to = at + dr * cols + dc
+            step = np.hypot(dy.flat[at] * dr, dx.flat[at] * dc) * friction.flat[at]
+            new, who = d[at] + step, s[at]
+            better = ok[to] & ((new < d[to]) | ((new == d[to]) & (who < s[to])))
+            d[to[better]], s[to[better]] = new[better], who[better]
+            changed.append(to[better])
+        front = np.unique(np.concatenate(changed))
+    return d.reshape(dist.shape), s.reshape(dist.shape)
+
+
 def spread(values: DataFrame, grid: GridSpec, mask: DataFrame | None = None, friction: DataFrame | None = None) -> DataFrame:
     """(idx, value, source, dist): each cell takes the value of the source that is
     nearest over the eight neighbours; sources are cells whose value isn't NULL or
     0.  A step costs its length times the ``friction`` (idx, friction) of the cell
-    it leaves; cells outside ``mask`` (idx) are neither entered nor left.
+    it leaves; cells outside ``mask`` (idx) are neither entered nor left.  Of equally
+    near sources the one of the smaller idx counts.
 
-    Rounds of relaxation: each sends the best (distance, source) so far to the
-    neighbours of the cells that changed, until none does.
+    Tiles are solved one by one and exchange what is on their rims until nothing changes.
     """
     cells = values.select("idx", F.col("value").cast("double").alias("value"))
     if mask is not None:
         cells = cells.join(mask.select("idx").distinct(), "idx", "left_semi")
     cells = cells.join(friction.select("idx", "friction"), "idx", "left") if friction is not None else cells.withColumn("friction", F.lit(1.0))
-    cells = saved(cells.withColumn("friction", F.coalesce("friction", F.lit(1.0))), "spread")
+    cells = saved(cells.select("idx", "value", F.coalesce("friction", F.lit(1.0)).cast("double").alias("friction")), "spread")
     seed = F.coalesce(F.col("value"), F.lit(0.0)) != 0
-    best = saved(cells.where(seed).select("idx", F.lit(0.0).alias("dist"), F.col("idx").alias("source")), "best")
-    front = best
-    while not front.isEmpty():
-        out = front.join(cells.select("idx", "friction"), "idx")
-        row, col = grid.row(), grid.col()
-        move = lambda dr, dc: F.struct((row + dr).alias("r"), (col + dc).alias("c"), (F.hypot(grid.dy(row) * dr, grid.dx(row) * dc) * F.col("friction")).alias("step"))
-        out = out.withColumn("m", F.explode(F.array(*[move(dr, dc) for dr, dc in NEIGHBOURS]))).where(grid.inside(F.col("m.r"), F.col("m.c")))
-        offers = out.select(grid.idx(F.col("m.r"), F.col("m.c")).alias("idx"), (F.col("dist") + F.col("m.step")).alias("dist"), "source")
-        offers = offers.groupBy("idx").agg(F.min(F.struct("dist", "source")).alias("o")).join(cells.select("idx"), "idx", "left_semi")
-        met = offers.join(best.select("idx", F.col("dist").alias("d0")), "idx", "left").where("d0 is null or o.dist < d0")
-        front = saved(met.select("idx", "o.dist", "o.source"), "front")
-        best = saved(best.join(front.select("idx"), "idx", "left_anti").unionByName(front), "best")
+    tiles = Tiles(grid)
+    columns = [("dist", float, np.inf), ("source", np.int64, FAR), ("friction", float, np.nan), ("dy", float, np.nan), ("dx", float, np.nan)]
+
+    def relax(table: pa.Table) -> pa.Table:
+        (dist, source, cost, dy, dx), at, own, number = tiles.box(table, *columns)
+        new, who = nearest(dist, source, cost, dy, dx)
+        r, c = at[0][own], at[1][own]
+        moved = (new != dist) | (who != source)
+        return pa.table({"idx": number[r, c], "dist": new[r, c], "source": who[r, c], "friction": cost[r, c], "dy": dy[r, c], "dx": dx[r, c], "moved": moved[r, c]})
+
+    start = cells.select(
+        "idx", F.when(seed, F.lit(0.0)).otherwise(F.lit(float("inf"))).alias("dist"), F.when(seed, F.col("idx")).otherwise(F.lit(FAR)).alias("source"), "friction",
+        grid.dy(grid.row()).cast("double").alias("dy"), grid.dx(grid.row()).cast("double").alias("dx"),
+    )
+    best = tiles.settle(start, relax, "idx long, dist double, source long, friction double, dy double, dx double", "spread-tiles")
     known = cells.select(F.col("idx").alias("source"), "value")
-    return best.join(known, "source").select("idx", "value", "source", "dist")
+    return best.where(F.col("dist") < float("inf")).join(known, "source").select("idx", "value", "source", "dist")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,23 @@ from thalweg.functions import encodings
 from thalweg.functions.grid import GridSpec
 from thalweg.plans import ascend, descend, saved
 
+#: Cells of one rank are numbered by stretches of so many ids.
+STRETCH = 1 << 20
+
+
+def numbered(cells: DataFrame, by: str, name: str) -> DataFrame:
+    """``cells`` (idx, by, ...) with their place in the order of (by, idx), from 0 on.  Only
+    counts by stretch are in one window."""
+    part = cells.withColumn("_s", F.floor(F.col("idx") / STRETCH))
+    sizes = part.groupBy(by, "_s").agg(F.count("*").alias("_n"))
+    outer = sizes.groupBy(by).agg(F.sum("_n").alias("_m"))
+    outer = outer.select(F.col(by), F.coalesce(F.sum("_m").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inner = sizes.select(by, "_s", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_i"))
+    before = inner.join(outer, by).select(by, "_s", (F.col("_o") + F.col("_i")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy(by, "_s").orderBy("idx")) - 1
+    return part.withColumn("_at", at).join(before, [by, "_s"]).withColumn(name, F.col("_before") + F.col("_at")).drop("_s", "_at", "_before")
+
+
 FLOW_ERROR = "downstream and upstream are 'down' and 'up'"
 
 
@@ -64,6 +82,34 @@ class FlowNetwork:
     def _like(self, cells: DataFrame) -> FlowNetwork:
         return FlowNetwork(saved(cells, "network"), self.grid)
 
+    def set_transform(self, transform: tuple[float, ...], latlon: bool = False) -> FlowNetwork:
+        """The same cells on a grid of another transform (six numbers)."""
+        if self.grid is None:
+            raise ValueError("a network without a grid has no transform")
+        return FlowNetwork(self.cells, replace(self.grid, transform=tuple(transform), latlon=latlon))
+
+    def points(self, at: DataFrame) -> DataFrame:
+        """``at`` (idx, ...), or with the cells at its coordinates if it is (x, y, ...)."""
+        if "idx" in at.columns:
+            return at
+        if self.grid is None or not {"x", "y"} <= set(at.columns):
+            raise ValueError("points are given by idx, or by x and y on a grid")
+        return at.withColumn("idx", self.grid.index("x", "y"))
+
+    def as_dict(self) -> dict:
+        """Grid, cells, order and pits by name."""
+        g = self.grid
+        return {
+            "shape": (g.nrow, g.ncol) if g else None, "transform": g.transform if g else None, "latlon": g.latlon if g else None,
+            "nnodes": self.n_nodes(), "idxs_ds": self.cells, "idxs_seq": self.order(), "idxs_pit": self.pits(),
+        }
+
+    def __getitem__(self, name: str):
+        return self.as_dict()[name]
+
+    def __str__(self) -> str:
+        return f"FlowNetwork({'without a grid' if self.grid is None else self.grid})"
+
     # --- plumbing
     @property
     def block(self) -> Column | None:
@@ -104,13 +150,9 @@ class FlowNetwork:
         return self._ranked.select("idx", F.when(F.col("terminal").isNull(), F.lit(-1)).otherwise(F.col("rank")).cast("int").alias("rank"))
 
     def order(self) -> DataFrame:
-        """(idx, rank, pos): an order from down- to upstream, ties by idx.  The
-        position comes from counts by rank and positions within one."""
-        ranked = self.rank().where("rank >= 0")
-        sizes = ranked.groupBy("rank").agg(F.count("*").alias("n"))
-        before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        inside = ranked.withColumn("at", F.row_number().over(Window.partitionBy("rank").orderBy("idx")) - 1)
-        return inside.join(before, "rank").select("idx", "rank", (F.col("before") + F.col("at")).alias("pos"))
+        """(idx, rank, pos): an order from down- to upstream, ties by idx.  Positions
+        come from counts by rank and stretch of idx, and places within one of these."""
+        return numbered(self.rank().where("rank >= 0"), "rank", "pos")
 
     def is_valid(self) -> bool:
         return self._ranked.where("terminal is null").isEmpty()
@@ -137,6 +179,7 @@ class FlowNetwork:
         """With the cells ``at`` (idx) as pits, or the first cells of ``streams`` (idx) below them."""
         if streams is not None:
             at = self.snap(at, streams).select("terminal").where("terminal is not null").toDF("idx")
+        at = self.points(at)
         new = at.select("idx", F.lit(True).alias("_pit")).distinct()
         return self._like(self.cells.join(new, "idx", "left").select("idx", F.when(F.col("_pit"), F.col("idx")).otherwise(F.col("idx_ds")).alias("idx_ds")))
 
@@ -172,7 +215,8 @@ class FlowNetwork:
     def snap(self, starts: DataFrame, stop: DataFrame | None = None, unit: str = "cell", max_length: float | None = None, direction: str = "down", uparea: DataFrame | None = None) -> DataFrame:
         """(idx, terminal, dist): where the path from each start ends: at a pit or
         headwater, at the first cell of ``stop`` (idx; starts count), or before
-        ``max_length`` would be exceeded."""
+        ``max_length`` would be exceeded.  Starts are (idx) or (x, y)."""
+        starts = self.points(starts)
         net = self._reversed(uparea) if direction == "up" else self
         if max_length is not None:
             return net._capped(starts, stop, unit, float(max_length), direction, self).groupBy("start").agg(F.max_by("idx", "pos").alias("terminal"), F.max("dist").alias("dist")).withColumnRenamed("start", "idx")
@@ -183,6 +227,7 @@ class FlowNetwork:
 
     def path(self, starts: DataFrame, stop: DataFrame | None = None, unit: str = "cell", max_length: float | None = None, direction: str = "down", uparea: DataFrame | None = None) -> DataFrame:
         """(start, pos, idx, dist) of the cells on the path from each start; see ``snap``."""
+        starts = self.points(starts)
         net = self._reversed(uparea) if direction == "up" else self
         return net._capped(starts, stop, unit, max_length, direction, self)
 

@@ -98,6 +98,36 @@ def segments(net: FlowNetwork, mask: DataFrame | None = None, max_len: int = 0)
     return cut.select("seg", F.col("part").cast("int").alias("part"), (F.col("pos") - F.col("part") * F.col("n")).alias("pos"), "idx").unionByName(pits)
 
 
+def outlet_segments(net: FlowNetwork, outlets: DataFrame, mask: DataFrame | None = None, max_len: int = 0, direction: str = "down", uparea: DataFrame | None = None) -> DataFrame:
+    """(seg, part, pos, idx): from each outlet (idx, or x and y) along the path down- or
+    main upstream to the next outlet, that one included, as long as cells are in
+    ``mask`` and no longer than ``max_len`` cells.  Positions run downstream; paths that
+    end at a pit have one more part, of two equal cells."""
+    if direction not in ("up", "down"):
+        raise ValueError("direction is 'up' or 'down'")
+    way = (net if direction == "down" else net._reversed(uparea)).cells
+    if mask is not None:
+        inside = mask.select(F.col("idx").alias("idx_ds"), F.lit(True).alias("_in")).distinct()
+        way = way.join(inside, "idx_ds", "left").select("idx", F.when(F.col("_in"), F.col("idx_ds")).otherwise(F.col("idx")).alias("idx_ds"))
+    way = FlowNetwork(saved(way, "way"), net.grid)
+    outlets = saved(net.points(outlets).select("idx").distinct(), "outlets")
+    first = way.cells.join(outlets, "idx")
+    on = first.where("idx <> idx_ds")
+    ahead = way.path(on.select(F.col("idx_ds").alias("idx")).distinct(), outlets)
+    members = on.select(F.col("idx").alias("seg"), F.col("idx_ds").alias("start")).join(ahead, "start").select("seg", (F.col("pos") + 1).alias("pos"), "idx")
+    members = members.unionByName(first.select(F.col("idx").alias("seg"), F.lit(0).cast("long").alias("pos"), "idx"))
+    if max_len > 0:
+        members = members.where(F.col("pos") < max_len)
+    members = saved(members, "segments")
+    size = members.groupBy("seg").agg(F.max("pos").alias("last"), F.max_by("idx", "pos").alias("end"))
+    lines = members.join(size.where("last > 0"), "seg").select("seg", F.lit(0).alias("part"), (F.col("pos") if direction == "down" else F.col("last") - F.col("pos")).alias("pos"), "idx")
+    if direction == "up":
+        return lines
+    at_pit = size.join(net.pits().withColumnRenamed("idx", "end"), "end", "left_semi")
+    passed = at_pit.join(outlets.withColumnRenamed("idx", "end"), "end", "left_anti").unionByName(at_pit.where("seg = end"))
+    return lines.unionByName(passed.select("seg", F.lit(-1).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("pos"), F.col("end").alias("idx")))
+
+
 def features(net: FlowNetwork, lines: DataFrame, key: list[str], coordinates: DataFrame | None = None, maps: DataFrame | None = None) -> DataFrame:
     """(type, geometry, properties) structs, one LineString per key of ``lines``
     (key..., pos, idx) with two points or more.  Properties are idx and idx_ds of

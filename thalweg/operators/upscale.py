@@ -150,3 +150,24 @@ def upscale_error(net: FlowNetwork, coarse: FlowNetwork, outlets: DataFrame) ->
     both = coarse.cells.join(want, "idx_ds", "left").join(hit.withColumnRenamed("cell", "idx"), "idx", "full")
     known = F.col("terminal").isNotNull() & F.col("idx_ds").isNotNull()
     return both.select(F.col("idx").alias("cell"), F.when(~known, -1).when(F.col("terminal").eqNullSafe(F.col("_want")), 1).otherwise(0).alias("connected"))
+
+
+def upscale_check(net: FlowNetwork, coarse: FlowNetwork, outlets: DataFrame, min_length: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(cell, valid, short) of the coarse cells, and (idx, stream) of the pixels.
+
+    A cell is valid if the next outlet pixel below its own (or the pit that the path
+    ends at) is that of its downstream cell, and then short if it is ``min_length``
+    pixels away or less.  Pixels have their cell's number at outlets, -1 on the paths
+    between them, else -9.
+    """
+    marked = saved(net.cells.join(outlets.select(F.col("pixel").alias("idx"), "cell"), "idx", "left"), "marked")
+    to = saved(ascend(marked.select("idx", "idx_ds", F.col("cell").alias("_cell"), F.lit(1).alias("steps")), {"steps": "sum"}, F.col("_cell").isNotNull(), net.block), "next-outlet")
+    own = outlets.select("cell", F.col("pixel").alias("idx")).join(net.cells, "idx").select("cell", F.col("idx").alias("pixel"), F.col("idx_ds").alias("idx"))
+    hit = own.join(to, "idx").select("cell", "terminal", F.when(F.col("pixel") == F.col("idx"), F.lit(1)).otherwise(F.col("steps") + 1).alias("away"))
+    want = outlets.select(F.col("cell").alias("idx_ds"), F.col("pixel").alias("want"))
+    both = coarse.cells.join(want, "idx_ds", "left").join(hit.withColumnRenamed("cell", "idx"), "idx", "left")
+    valid = F.col("terminal").eqNullSafe(F.col("want")) & F.col("terminal").isNotNull()
+    cells = both.select(F.col("idx").alias("cell"), valid.alias("valid"), (valid & (F.col("away") <= min_length)).alias("short"))
+    above = net.descend(marked.select("idx", F.col("cell").isNotNull().cast("int").alias("n")), {"n": "sum"})
+    stream = F.when(F.col("cell").isNotNull(), F.col("cell")).when((F.col("n") > 0) & (F.col("idx") != F.col("idx_ds")), F.lit(-1)).otherwise(F.lit(-9))
+    return cells, marked.join(above.select("idx", "n"), "idx", "left").select("idx", stream.cast("long").alias("stream"))

@@ -6,6 +6,8 @@ so that both engines see the same cells.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from thalweg.functions import encodings
 from thalweg.functions.grid import GridSpec, edge_cells
 from thalweg.operators import FlowNetwork, basins, elevation, rivers, streams, subgrid, upscale, windows
 from thalweg.plans import saved
+from thalweg.plans.store import shared_dir
+from thalweg.sources import load, save
 
 NCOL = 100
 GEO = (0.25, 0.0, -10.0, 0.0, -0.05, 60.0)
@@ -156,6 +160,53 @@ def q_to_array_nextxy(spark, d):
     return n1(spark, d).to_array("nextxy")
 
 
+D8_OF = "CASE WHEN net.idx IS NULL THEN 247 WHEN net.idx = ds THEN 0 WHEN ds - net.idx = 1 THEN 1 WHEN ds - net.idx = 101 THEN 2 WHEN ds - net.idx = 100 THEN 4 WHEN ds - net.idx = 99 THEN 8 WHEN ds - net.idx = -1 THEN 16 END"
+
+
+@query(_sql(N1, select=f"SELECT c1.r AS \"row\", c1.c AS col, {D8_OF} AS code FROM c1 LEFT JOIN net USING (idx)"))
+def q_to_array_d8(spark, d):
+    return n1(spark, d).to_array("d8")
+
+
+@query(_sql(N1, select=f"SELECT c1.r AS \"row\", c1.c AS col, {D8_OF} AS code FROM c1 LEFT JOIN net USING (idx)"))
+def q_ldd_to_d8(spark, d):
+    return n1(spark, d).to_array("ldd").select("row", "col", encodings.convert(F.col("code"), "ldd", "d8").alias("code"))
+
+
+@query(_sql(N1, select="SELECT idx, ds AS idx_ds FROM net"))
+def q_from_array_ldd(spark, d):
+    """Encoded and decoded, the encoding inferred."""
+    net = n1(spark, d)
+    return FlowNetwork.from_array(saved(net.to_array("ldd"), "ldd"), net.grid, "infer").cells
+
+
+@query(_sql(N1, select="SELECT idx, ds AS idx_ds FROM net"))
+def q_from_array_nextxy(spark, d):
+    net = n1(spark, d)
+    return FlowNetwork.from_array(saved(net.to_array("nextxy"), "nextxy"), net.grid, "infer").cells
+
+
+@query(_sql(N1, select="SELECT idx, ds AS idx_ds FROM net"))
+def q_save_load(spark, d):
+    """A network written with its grid and read again."""
+    net = n1(spark, d, latlon=True)
+    path = f"{shared_dir(spark)}/thalweg-{spark.sparkContext.applicationId}/saved-{uuid.uuid4().hex}"
+    save(net, path)
+    again = load(spark, path)
+    if again.grid != net.grid:
+        raise ValueError("the grid isn't the one that was saved")
+    return again.cells
+
+
+@query("SELECT code, code IN (0, 255) AS pit_d8, code = 247 AS missing_d8, code IN (0, 1, 2, 4, 8, 16, 32, 64, 128, 247, 255) AS valid_d8, code = 5 AS pit_ldd, code = 255 AS missing_ldd, code BETWEEN 1 AND 9 OR code = 255 AS valid_ldd FROM (SELECT CAST(unnest(range(256)) AS INT) AS code)")
+def q_code_kinds(spark, d):
+    """What each code is in the two local encodings."""
+    c = F.col("code")
+    out = spark.range(256).select(F.col("id").cast("int").alias("code"))
+    kinds = [x for f in ("d8", "ldd") for x in (encodings.is_pit(c, f).alias(f"pit_{f}"), encodings.is_nodata(c, f).alias(f"missing_{f}"), c.isin(*encodings.encoding(f).codes).alias(f"valid_{f}"))]
+    return out.select("code", *kinds)
+
+
 # --- network properties
 @query(_sql(N1, RANK, select="SELECT net.idx, coalesce(rank, -1) AS rank FROM net LEFT JOIN r USING (idx)"))
 def q_rank(spark, d):
@@ -208,6 +259,44 @@ def q_main_upstream(spark, d):
     return n3(spark, d).main_upstream()
 
 
+@query(_sql(N1, RANK, select="SELECT NOT EXISTS (SELECT 1 FROM net WHERE idx NOT IN (SELECT idx FROM r)) AS valid, (SELECT count(*) FROM r) AS nodes, (SELECT count(*) FROM net WHERE idx = ds) AS pits, (SELECT max(rank) FROM r) AS deepest"))
+def q_network_counts(spark, d):
+    net = n1(spark, d)
+    one = net.rank().agg(F.max("rank").alias("deepest"))
+    return one.select(F.lit(net.is_valid()).alias("valid"), F.lit(net.n_nodes()).cast("long").alias("nodes"), F.lit(net.pits().count()).cast("long").alias("pits"), "deepest")
+
+
+@query(_sql(N1, select="SELECT c0.idx, net.idx IS NOT NULL AS present FROM c0 LEFT JOIN net USING (idx)"))
+def q_mask(spark, d):
+    """Which cells of the raster are cells of the network."""
+    net = n1(spark, d)
+    every = _orders(spark, d).select(F.col("o_orderkey").alias("idx"))
+    return every.join(net.cells.select("idx", F.lit(True).alias("present")), "idx", "left").select("idx", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+@query(_sql(N1, select="SELECT ds AS idx, row_number() OVER (PARTITION BY ds ORDER BY idx) - 1 AS k, idx AS upstream FROM net WHERE idx <> ds"))
+def q_upstream_matrix(spark, d):
+    return n1(spark, d).upstream_matrix().select("idx", F.posexplode("upstream").alias("k", "upstream")).select("idx", F.col("k").cast("long").alias("k"), "upstream")
+
+
+@query(_sql(N1, select="SELECT idx, ds AS idx_ds FROM net WHERE idx % 3 = 1"))
+def q_flwdir_tuples(spark, d):
+    net = n1(spark, d)
+    return net.tuples(net.cells.where("idx % 3 = 1").select("idx"))
+
+
+NEAR_CODE = "CASE WHEN net.idx = ds THEN 0 WHEN ds // 100 = net.idx // 100 OR ds % 100 = net.idx % 100 THEN 1 ELSE 2 END"
+
+
+@query(_sql(N1, select=f"SELECT net.idx, {NEAR_CODE} AS kind FROM net"))
+def q_step_kinds(spark, d):
+    """Whether steps stay, go straight or diagonally, from neighbours' places."""
+    net = n1(spark, d)
+    g = net.grid
+    far = F.abs(g.row() - g.row("idx_ds")) + F.abs(g.col() - g.col("idx_ds"))
+    return net.cells.select("idx", far.cast("int").alias("kind"))
+
+
 # --- tracing
 @query(_sql(N3, "s(start, pos, idx, dist) AS (SELECT idx, 0, idx, CAST(0 AS DOUBLE) FROM net WHERE idx % 37 = 4 UNION ALL SELECT start, pos + 1, n.ds, dist + 1 FROM s JOIN net n USING (idx) WHERE n.idx <> n.ds AND pos < 25)", select="SELECT start, CAST(pos AS BIGINT) AS pos, idx, CAST(dist AS DOUBLE) AS dist FROM s"))
 def q_path_capped(spark, d):
@@ -221,6 +310,28 @@ def q_snap(spark, d):
     return net.snap(net.cells.where("idx % 11 = 3").select("idx"), net.cells.where("idx % 40 = 7").select("idx"))
 
 
+@query(_sql(N3, "s(start, pos, idx) AS (SELECT idx, 0, idx FROM net WHERE idx NOT IN (SELECT ds FROM net WHERE idx <> ds) UNION ALL SELECT start, pos + 1, n.ds FROM s JOIN net n USING (idx) WHERE n.idx <> n.ds)", select="SELECT start, CAST(pos AS BIGINT) AS pos, idx, CAST(pos AS DOUBLE) AS dist FROM s"))
+def q_path(spark, d):
+    """Whole paths from all headwaters."""
+    net = n3(spark, d)
+    return net.path(net.headwaters())
+
+
+@query(_sql(N3, RANK, select="SELECT idx, pit AS terminal, CAST(rank AS DOUBLE) AS dist FROM r"))
+def q_snap_all(spark, d):
+    """Where the path from every cell ends."""
+    net = n3(spark, d)
+    return net.snap(net.cells.select("idx"))
+
+
+@query(_sql(N1, RANK, select="SELECT idx, pit AS terminal, CAST(rank AS DOUBLE) AS dist FROM r"))
+def q_snap_xy(spark, d):
+    """From coordinates: the centres of all cells."""
+    net = n1(spark, d, latlon=True)
+    x, y = net.grid.xy("idx")
+    return net.snap(net.repair_loops().cells.join(net.loops(), "idx", "left_anti").select(x.alias("x"), y.alias("y")))
+
+
 REGION = "idx % 250 BETWEEN 60 AND 140"
 
 
@@ -349,6 +460,24 @@ def q_vectorize(spark, d):
     return f.agg(F.count("*").alias("n"), F.sum(F.col("properties.pit").cast("int")).alias("pits"), F.round(F.sum(x)).cast("long").alias("xs"), F.round(F.sum(y)).cast("long").alias("ys"))
 
 
+OUTLET_SEGMENT = "s(seg, pos, idx, done) AS (SELECT idx, 0, idx, false FROM net WHERE idx % 45 = 9 UNION ALL SELECT seg, pos + 1, n.ds, n.ds % 45 = 9 FROM s JOIN net n USING (idx) WHERE NOT done AND n.ds <> n.idx)"
+
+
+@query(_sql(N3, OUTLET_SEGMENT, "l AS (SELECT seg FROM s GROUP BY seg HAVING count(*) > 1)", select="SELECT seg, 0 AS part, CAST(pos AS BIGINT) AS pos, idx FROM s WHERE seg IN (SELECT seg FROM l) UNION ALL SELECT seg, -1, x.k, s.idx FROM s JOIN net n ON n.idx = s.idx AND n.ds = n.idx, (VALUES (0::BIGINT), (1::BIGINT)) x(k) WHERE NOT done"))
+def q_streams_outlets(spark, d):
+    net = n3(spark, d)
+    return streams.outlet_segments(net, net.cells.where("idx % 45 = 9").select("idx"))
+
+
+UP_SEGMENT = "s(seg, pos, idx, done) AS (SELECT idx, 0, idx, false FROM net WHERE idx % 45 = 9 UNION ALL SELECT seg, pos + 1, -main.m.i, -main.m.i % 45 = 9 FROM s JOIN main USING (idx) WHERE NOT done)"
+
+
+@query(_sql(N3, RANK, PAIRS, AREA, MAIN, UP_SEGMENT, "l AS (SELECT seg, max(pos) AS last FROM s GROUP BY seg HAVING count(*) > 1)", select="SELECT seg, 0 AS part, CAST(last - pos AS BIGINT) AS pos, idx FROM s JOIN l USING (seg)"))
+def q_streams_outlets_up(spark, d):
+    net = n3(spark, d)
+    return streams.outlet_segments(net, net.cells.where("idx % 45 = 9").select("idx"), direction="up")
+
+
 # --- basins and regions
 @query(_sql(N1, RANK, "o AS (SELECT idx, row_number() OVER (ORDER BY idx) AS b FROM net WHERE idx = ds)", select="SELECT r.idx, o.b AS basin FROM r JOIN o ON o.idx = r.pit"))
 def q_basins(spark, d):
@@ -431,6 +560,20 @@ def q_region_dissolve(spark, d):
     return basins.region_dissolve(regions, spark.createDataFrame([(2,), (5,)], "region long"), net.grid)
 
 
+BASIN = "b AS (SELECT r.idx, o.b AS region FROM r JOIN (SELECT idx, row_number() OVER (ORDER BY idx) AS b FROM net WHERE idx = ds) o ON o.idx = r.pit)"
+
+
+@query(_sql(N1, RANK, BASIN, select="SELECT region, CAST(round(min(-10 + 0.25 * (idx % 100)), 6) AS DOUBLE) AS xmin, CAST(round(min(60 - 0.05 * (idx // 100 + 1)), 6) AS DOUBLE) AS ymin, CAST(round(max(-10 + 0.25 * (idx % 100 + 1)), 6) AS DOUBLE) AS xmax, CAST(round(max(60 - 0.05 * (idx // 100)), 6) AS DOUBLE) AS ymax FROM b GROUP BY ROLLUP (region)"))
+def q_basin_bounds(spark, d):
+    out = basins.basin_bounds(n1(spark, d, latlon=True))
+    return out.select("region", *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@query(_sql(N1, RANK, BASIN, select="SELECT region, idx FROM b JOIN net USING (idx) WHERE idx = ds"))
+def q_basin_outlets(spark, d):
+    return basins.basin_outlets(n1(spark, d))
+
+
 # --- elevation
 @query(_sql(N2, "s(idx, drain) AS (SELECT idx, idx FROM net WHERE idx = ds OR idx % 31 = 2 UNION ALL SELECT n.idx, s.drain FROM net n JOIN s ON n.ds = s.idx AND n.idx <> n.ds WHERE n.idx % 31 <> 2)", select="SELECT s.idx, a.elev - b.elev AS hand FROM s JOIN z a ON a.idx = s.idx JOIN z b ON b.idx = s.drain"))
 def q_hand(spark, d):
@@ -464,7 +607,19 @@ def q_fill_depressions(spark, d):
     return elevation.fill_depressions(z, g)
 
 
-@query()
+KEYED = """
+WITH RECURSIVE z AS (SELECT o_orderkey AS idx, o_orderkey // 100 AS r, o_orderkey % 100 AS c, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) AS elev FROM orders),
+e AS MATERIALIZED (SELECT a.idx AS a, b.idx AS b, b.elev FROM z a JOIN z b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.idx <> b.idx AND b.idx BETWEEN a.idx - 101 AND a.idx + 101),
+w(idx, elev) USING KEY (idx) AS (
+  SELECT z.idx, z.elev FROM z LEFT JOIN e ON e.a = z.idx GROUP BY z.idx, z.elev HAVING count(e.b) < 8
+  UNION
+  SELECT e.b, min(greatest(w.elev, e.elev)) FROM w JOIN e ON e.a = w.idx LEFT JOIN recurring.w AS k ON k.idx = e.b
+  WHERE k.idx IS NULL OR greatest(w.elev, e.elev) < k.elev GROUP BY e.b)
+SELECT idx, elev FROM w
+"""
+
+
+@query(KEYED)
 def q_filled_surface(spark, d):
     z, g = heights(spark, d)
     return elevation.filled_surface(z, g)
@@ -489,10 +644,23 @@ def q_dem_dig_d4(spark, d):
     return elevation.dig_4connectivity(net, z)
 
 
-@query()
+SPREAD = """,
+e AS MATERIALIZED (SELECT a.idx AS a, b.idx AS b, sqrt(pow(a.idx // 100 - b.idx // 100, 2) + pow(a.idx % 100 - b.idx % 100, 2)) AS step
+      FROM net a JOIN net b ON b.idx BETWEEN a.idx - 101 AND a.idx + 101 AND a.idx <> b.idx AND abs(a.idx // 100 - b.idx // 100) <= 1 AND abs(a.idx % 100 - b.idx % 100) <= 1),
+w(idx, dist) USING KEY (idx) AS (
+  SELECT idx, CAST(0 AS DOUBLE) FROM net WHERE idx % 97 = 5
+  UNION
+  SELECT e.b, min(w.dist + e.step) FROM w JOIN e ON e.a = w.idx LEFT JOIN recurring.w AS k ON k.idx = e.b
+  WHERE k.idx IS NULL OR w.dist + e.step < k.dist - 1e-9 GROUP BY e.b)
+"""
+
+
+@query("WITH RECURSIVE " + N1 + SPREAD + "SELECT idx, round(dist, 6) AS dist FROM w")
 def q_spread2d(spark, d):
+    """Distances; which of two equally near sources a cell takes isn't compared."""
     net = n1(spark, d)
-    return elevation.spread(net.cells.select("idx", F.when(F.col("idx") % 97 == 5, F.col("idx") + 1.0).alias("value")), net.grid)
+    out = elevation.spread(net.cells.select("idx", F.when(F.col("idx") % 97 == 5, F.col("idx") + 1.0).alias("value")), net.grid)
+    return out.select("idx", F.round("dist", 6).alias("dist"))
 
 
 @query("WITH o AS (SELECT o_orderkey AS idx, o_orderkey // 100 AS r, o_orderkey % 100 AS c FROM orders WHERE o_orderkey % 13 <> 4) "
@@ -502,6 +670,14 @@ def q_get_edge(spark, d):
     return edge_cells(z.where("idx % 13 <> 4"), g)
 
 
+@query("SELECT p_size AS size, round(regr_slope(p_retailprice, p_partkey), 6) AS slope, round(regr_intercept(p_retailprice, p_partkey), 4) AS intercept FROM part GROUP BY p_size HAVING count(*) > 2")
+def q_lstsq(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    slope, start = windows.least_squares(F.col("p_partkey"), F.col("p_retailprice"))
+    out = p.groupBy(F.col("p_size").alias("size")).agg(slope.alias("slope"), start.alias("intercept"), F.count("*").alias("n")).where("n > 2")
+    return out.select("size", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
 # --- rivers
 @query(_sql(N3, "s(idx, dist) AS (SELECT idx, 0 FROM net WHERE idx = ds UNION ALL SELECT n.idx, dist + 1 FROM net n JOIN s ON n.ds = s.idx AND n.idx <> n.ds)", "v AS (SELECT s.idx, ds, dist, value FROM s JOIN net USING (idx) JOIN val USING (idx))", "e AS (SELECT a.idx, a.ds, a.idx <> a.ds AND ((b.dist = 0 AND b.value - a.value <= 0) OR b.value - a.value > 0.01) AS ok FROM v a JOIN v b ON b.idx = a.ds)", "t(idx) AS (SELECT idx FROM v WHERE idx = ds AND value <= 30 UNION ALL SELECT e.idx FROM e JOIN t ON t.idx = e.ds WHERE ok)", select="SELECT net.idx, CASE WHEN t.idx IS NULL THEN 0 WHEN EXISTS (SELECT 1 FROM e WHERE e.ds = net.idx AND e.idx <> e.ds AND NOT ok) THEN 2 ELSE 1 END AS estuary FROM net LEFT JOIN t USING (idx)"))
 def q_classify_estuaries(spark, d):
@@ -556,6 +732,31 @@ def q_upscale_error(spark, d):
     return upscale.upscale_error(*_scaled(spark, d, "eam_plus"))
 
 
+@query("WITH o AS (SELECT o_orderkey AS idx, o_orderkey // 100 AS r, o_orderkey % 100 AS c FROM orders) SELECT idx, CAST(r // 10 * 10 + c // 10 AS BIGINT) AS cell, r % 10 IN (0, 9) OR c % 10 IN (0, 9) AS edge, sqrt(abs(r % 10 - 4.5)) + sqrt(abs(c % 10 - 4.5)) <= sqrt(5.0) OR abs(r % 10 - 4.5) <= 0.5 OR abs(c % 10 - 4.5) <= 0.5 AS inside FROM o")
+def q_coarse_cells(spark, d):
+    """The coarse cell of every pixel, and whether it is on its border and in its effective area."""
+    o = _orders(spark, d)
+    g = _grid(o)
+    return o.select(F.col("o_orderkey").alias("idx")).select("idx", upscale.coarse_cell(g, 10).alias("cell"), upscale.on_edge(g, 10).alias("edge"), upscale.in_effective_area(g, 10).alias("inside"))
+
+
+@query(_sql(N3, "o AS (SELECT idx FROM net WHERE idx % 45 = 9)", "k AS (SELECT idx, CASE WHEN idx > 45 THEN idx - 45 ELSE idx END AS cds FROM o)",
+            "t(cell, idx, away, done) AS (SELECT o.idx, n.ds, 1, n.ds % 45 = 9 OR n.ds = n.idx FROM o JOIN net n USING (idx) UNION ALL SELECT cell, n.ds, CASE WHEN n.ds = n.idx THEN away ELSE away + 1 END, n.ds % 45 = 9 OR n.ds = n.idx FROM t JOIN net n USING (idx) WHERE NOT done)",
+            select="SELECT k.idx AS cell, t.idx = k.cds AS valid, t.idx = k.cds AND away <= 18 AS short FROM k JOIN t ON t.cell = k.idx AND t.done"))
+def q_upscale_check(spark, d):
+    net = n3(spark, d)
+    out = _outlets(net)
+    coarse = FlowNetwork(out.select(F.col("cell").alias("idx"), F.when(F.col("cell") > 45, F.col("cell") - 45).otherwise(F.col("cell")).alias("idx_ds")))
+    return upscale.upscale_check(net, coarse, out, 18)[0]
+
+
+@query(_sql(N3, RANK, PAIRS, select="SELECT net.idx, CAST(CASE WHEN net.idx % 45 = 9 THEN net.idx WHEN net.idx <> ds AND net.idx IN (SELECT anc FROM p WHERE des % 45 = 9) THEN -1 ELSE -9 END AS BIGINT) AS stream FROM net"))
+def q_upscale_streams(spark, d):
+    net = n3(spark, d)
+    out = _outlets(net)
+    return upscale.upscale_check(net, net, out)[1]
+
+
 def _outlets(net: FlowNetwork) -> DataFrame:
     return net.cells.where("idx % 45 = 9").select(F.col("idx").alias("cell"), F.col("idx").alias("pixel"))
 
