@@ -33,6 +33,15 @@ def test_disconnected_cells(net, uparea, method, errors):
     assert upscale.upscale_error(net, coarse, out).where("connected = 0").count() == errors
 
 
+@pytest.mark.parametrize("factor, errors", [(40, 0), (20, 1), (10, 4), (5, 7)])
+def test_moved_outlets(net, uparea, factor, errors):
+    """No more cells are disconnected than are known of the iterative method."""
+    coarse, out = upscale.upscale(net, factor, uparea=uparea)
+    assert coarse.is_valid()
+    assert out.join(net.cells, F.col("pixel") == F.col("idx")).where(upscale.coarse_cell(net.grid, factor, "idx") != F.col("cell")).isEmpty()
+    assert upscale.upscale_error(net, coarse, out).where("connected = 0").count() <= errors
+
+
 def test_pfafstetter_levels_nest(net, uparea):
     one = basins.subbasins_pfafstetter(net, 1, uparea, 50).withColumnRenamed("basin", "a")
     two = basins.subbasins_pfafstetter(net, 2, uparea, 50).withColumnRenamed("basin", "b")

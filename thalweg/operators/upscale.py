@@ -12,7 +12,9 @@ from thalweg.functions.grid import GridSpec
 from thalweg.operators.network import FlowNetwork
 from thalweg.plans import ascend, saved
 
-METHODS = ("dmm", "eam", "eam_plus")
+METHODS = ("ihu", "eam_plus", "eam", "dmm")
+#: Rounds of moving outlets.
+MAX_ROUNDS = 50
 
 
 def coarse_cell(fine: GridSpec, factor: int, idx="idx") -> Column:
@@ -52,7 +54,7 @@ def _from(pixels: DataFrame, net: FlowNetwork, stop: Column, name: str) -> DataF
 
 
 def outlet_pixels(net: FlowNetwork, factor: int, uparea: DataFrame | None = None, method: str = "eam_plus", ratio: float = 0.5) -> DataFrame:
-    """(cell, pixel): where each coarse cell is drained.  For eam_plus the last pixel
+    """(cell, pixel): where each coarse cell is drained.  For eam_plus and ihu the last pixel
     in the cell on the path from its representative one, else that one itself."""
     uparea = net.upstream_area() if uparea is None else uparea
     if method == "dmm":
@@ -60,7 +62,7 @@ def outlet_pixels(net: FlowNetwork, factor: int, uparea: DataFrame | None = None
     rep = representatives(net, factor, uparea, in_effective_area(net.grid, factor, "idx", ratio))
     if method == "eam":
         return rep
-    if method != "eam_plus":
+    if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
     leaves = coarse_cell(net.grid, factor) != coarse_cell(net.grid, factor, "idx_ds")
     last = ascend(net.cells, {}, leaves, net.block)
@@ -119,7 +121,102 @@ def _plus_next(net: FlowNetwork, factor: int, out: DataFrame, ratio: float) -> D
     return both.select("cell", F.when(adjacent(F.col("cell"), there, ncol), there).otherwise(coarse_cell(g, factor, "passed")).alias("cell_ds"))
 
 
-def upscale(net: FlowNetwork, factor: int, method: str = "eam_plus", uparea: DataFrame | None = None, ratio: float = 0.5) -> tuple[FlowNetwork, DataFrame]:
+def relocate(net: FlowNetwork, factor: int, out: DataFrame, uparea: DataFrame) -> DataFrame:
+    """Outlet pixels (cell, pixel) moved until no single move makes fewer cells miss.
+
+    Outlets are pixels where a path leaves its cell; between them paths are followed
+    from one such pixel to the next.  A cell misses if the next outlet below its own is
+    not in a cell beside it.  For each of them the moves are: a cell on its way gets its
+    outlet on the way, or the cell itself another one of its pixels.  A move concerns
+    the cell that is moved, those that drain to it and those whose way passes the new
+    outlet; from these follows how many cells less miss.  In each round the best move
+    of every neighbourhood is made, or the best of all if that doesn't help; of equal
+    ones that to the larger upstream area.
+    """
+    g, ncol = net.grid, net.grid.scaled(factor).ncol
+    at = lambda c: coarse_cell(g, factor, c)
+    leaves = at("idx") != at("idx_ds")
+    ends = saved(ascend(net.cells, {}, leaves, net.block), "leaves")
+    node = net.cells.where(leaves | (F.col("idx") == F.col("idx_ds"))).withColumnRenamed("idx_ds", "_first")
+    node = node.join(ends.select(F.col("idx").alias("_first"), "terminal"), "_first").join(uparea.select("idx", "uparea"), "idx")
+    node = saved(node.select("idx", F.when(F.col("_first") == F.col("idx"), F.col("idx")).otherwise(F.coalesce("terminal", "idx")).alias("idx_ds"), at("idx").alias("home"), "uparea"), "nodes")
+    ways = FlowNetwork(node)
+    beside = lambda a, b: adjacent(F.col(a), F.col(b), ncol)
+
+    def followed(out: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(idx, next, hit): the next outlet below every pixel, or where its path ends if
+        there is none; and (cell, pixel, next, hit, misses) of the cells."""
+        chosen = out.select(F.col("pixel").alias("idx"), F.lit(True).alias("_out"))
+        to = saved(ways.ascend(chosen, {}, F.col("_out")), "to")
+        there = to.select(F.col("idx").alias("idx_ds"), "terminal")
+        below = node.join(there, "idx_ds").join(chosen.select(F.col("idx").alias("terminal"), "_out"), "terminal", "left")
+        below = saved(below.select("idx", F.col("terminal").alias("next"), F.coalesce("_out", F.lit(False)).alias("hit")), "below")
+        cells = out.join(below.withColumnRenamed("idx", "pixel"), "pixel")
+        misses = (F.col("pixel") != F.col("next")) & ~(F.col("hit") & adjacent(F.col("cell"), at("next"), ncol))
+        return below, saved(cells.select("cell", "pixel", "next", "hit", misses.alias("misses")), "cells")
+
+    def moves(below: DataFrame, cells: DataFrame) -> DataFrame:
+        """(moved, pixel, gain, uparea, near): moves that make fewer cells miss, with the
+        cells that they concern."""
+        ahead = cells.where("pixel <> next").join(node.select(F.col("idx").alias("pixel"), F.col("idx_ds").alias("start")), "pixel").select("cell", "start")
+        stops = cells.select(F.col("pixel").alias("idx"))
+        path = ways.path(ahead.select(F.col("start").alias("idx")).distinct(), stops)
+        path = ahead.join(path, "start").join(stops, "idx", "left_anti").select(F.col("cell").alias("user"), "idx")
+        path = saved(path, "passed")  # (user, idx): what lies between a cell's outlet and the next one
+        homes = node.select("idx", F.col("home").alias("moved"), "uparea")
+        wrong = cells.where("misses").select(F.col("cell").alias("user"))
+        along = path.join(wrong, "user", "left_semi").select("idx").distinct().join(homes, "idx")
+        inside = homes.join(wrong.withColumnRenamed("user", "moved"), "moved", "left_semi")
+        tried = along.unionByName(inside).distinct().join(stops, "idx", "left_anti")
+        old = cells.select(F.col("cell").alias("moved"), F.col("pixel").alias("old"), F.col("next").alias("past"), F.col("hit").alias("past_hit"), F.col("misses").alias("missed"))
+        tried = tried.join(old, "moved").join(below.select("idx", F.col("next").alias("then"), F.col("hit").alias("then_hit")), "idx")
+        on_way = path.select(F.col("user").alias("moved"), "idx", F.lit(True).alias("under"))
+        tried = saved(tried.join(on_way, ["moved", "idx"], "left").withColumn("under", F.coalesce("under", F.lit(False))), "tried")
+        # the moved cell: below its new outlet, past its old one
+        behind = F.col("then") == F.col("old")
+        own_next, own_hit = F.when(behind, F.col("past")).otherwise(F.col("then")), F.when(behind, F.col("past_hit") & (F.col("past") != F.col("old"))).otherwise(F.col("then_hit"))
+        own = tried.select("moved", "idx", F.col("moved").alias("user"), F.col("missed").alias("was"), ((F.col("idx") != own_next) & ~(own_hit & adjacent(F.col("moved"), at(own_next), ncol))).alias("is"))
+        passing = path.select("user", "idx", F.lit(True).alias("passes"))
+        # cells that drained to the old outlet
+        drained = tried.join(cells.select(F.col("cell").alias("user"), F.col("next").alias("old"), F.col("hit").alias("_hit"), F.col("misses").alias("was"), F.col("pixel").alias("own")), "old").where("_hit and user <> moved")
+        drained = drained.join(passing, ["user", "idx"], "left")
+        meets = F.coalesce(F.col("passes"), F.lit(False)) | F.col("under")
+        on = F.col("past_hit") & (F.col("past") != F.col("old")) & adjacent(F.col("user"), at("past"), ncol)
+        drained = drained.select("moved", "idx", "user", "was", F.when(meets, ~beside("user", "moved")).otherwise(~on).alias("is"))
+        # cells on whose way the new outlet lies
+        passed = tried.join(passing, "idx").where("user <> moved").join(cells.select(F.col("cell").alias("user"), F.col("next").alias("_next"), F.col("misses").alias("was")), "user").where("_next <> old")
+        passed = passed.select("moved", "idx", "user", "was", (~beside("user", "moved")).alias("is"))
+        every = saved(own.unionByName(drained).unionByName(passed), "concerned")
+        gain = every.groupBy("moved", "idx").agg((F.sum(F.col("was").cast("int")) - F.sum(F.col("is").cast("int"))).alias("gain"), F.collect_set("user").alias("users"))
+        good = gain.where("gain > 0").join(tried, ["moved", "idx"])
+        near = F.array_distinct(F.concat("users", F.array("moved", at("past"), at("then"))))
+        return good.select("moved", F.col("idx").alias("pixel"), "gain", "uparea", near.alias("near"))
+
+    below, cells = followed(out)
+    missing = cells.where("misses").count()
+    for _ in range(MAX_ROUNDS):
+        if not missing:
+            break
+        good = saved(moves(below, cells), "moves")
+        rank = F.struct((-F.col("gain")).alias("g"), (-F.col("uparea")).alias("a"), "moved", "pixel")
+        ranked = good.withColumn("rank", rank)
+        best = ranked.select(F.explode("near").alias("c"), "rank").groupBy("c").agg(F.min("rank").alias("first"))
+        beaten = ranked.select("moved", "pixel", "rank", F.explode("near").alias("c")).join(best, "c").where("rank <> first").select("moved", "pixel").distinct()
+        accepted = saved(ranked.join(beaten, ["moved", "pixel"], "left_anti").select(F.col("moved").alias("cell"), F.col("pixel").alias("_new"), "rank"), "accepted")
+        n = accepted.count()
+        for part in [accepted, accepted.orderBy("rank").limit(1)][: min(n, 2)]:
+            new = saved(out.join(part.select("cell", "_new"), "cell", "left").select("cell", F.coalesce("_new", "pixel").alias("pixel")), "outlets")
+            below_new, cells_new = followed(new)
+            left = cells_new.where("misses").count()
+            if left < missing:
+                break
+        if not n or left >= missing:
+            break
+        out, below, cells, missing = new, below_new, cells_new, left
+    return out
+
+
+def upscale(net: FlowNetwork, factor: int, method: str = "ihu", uparea: DataFrame | None = None, ratio: float = 0.5) -> tuple[FlowNetwork, DataFrame]:
     """The coarse network and its outlet pixels (cell, pixel)."""
     if net.grid is None:
         raise ValueError("upscaling takes a network on a grid")
@@ -129,6 +226,8 @@ def upscale(net: FlowNetwork, factor: int, method: str = "eam_plus", uparea: Dat
         raise ValueError("the factor is 2 or more")
     uparea = saved(net.upstream_area() if uparea is None else uparea, "uparea")
     out = saved(outlet_pixels(net, factor, uparea, method, ratio), "outlets")
+    if method == "ihu":
+        out = relocate(net, factor, out, uparea)
     if method == "dmm":
         cells = _dmm_next(net, factor, out)
     elif method == "eam":

@@ -727,6 +727,11 @@ def q_upscale_eam_plus(spark, d):
     return _scaled(spark, d, "eam_plus")[1].cells
 
 
+@query()
+def q_upscale_ihu(spark, d):
+    return _scaled(spark, d, "ihu")[1].cells
+
+
 @query()
 def q_upscale_error(spark, d):
     return upscale.upscale_error(*_scaled(spark, d, "eam_plus"))
