@@ -240,6 +240,18 @@ def test_fingerprints(docs, rows):
     assert iblt.fingerprint_edits(empty(docs)).collect() == []
 
 
+def test_fingerprints_of_rows_without_id(spark, monkeypatch):
+    """Ranges by hash: each row still meets the next one."""
+    monkeypatch.setattr(iblt, "DOCS_PER_RANGE", 10)
+    r = random.Random(5)
+    rows = [(None, words(r, 9)) for _ in range(150)] + [(i * (1 << 53) + i, words(r, 9)) for i in range(-40, 40)] + [(None, "same")] * 20
+    got = iblt.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    ordered = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), hashlib.sha256(x[1].encode()).hexdigest()))
+    texts = [t for _, t in ordered]
+    want = [(d, hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()) for (d, t), u in zip(ordered, texts[1:] + texts[:1], strict=True)]
+    assert sorted(map(str, want)) == sorted(str((x["doc_id"], x["edited_sha256"])) for x in got)
+
+
 def test_likeness_retries_larger():
     a, b = [list(range(1, 500))], [list(range(300, 900))]
     assert iblt.likeness(a, b) == [200 / 899]
@@ -264,6 +276,55 @@ def test_language(spark):
     assert {x["lang_pred"] for x in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_mixtures_by_plain_em():
+    """Shares and language sets of single documents against loops over their words."""
+    import math
+
+    r = random.Random(5)
+    model = langid.LanguageModel(["a", "b", "c"], *(np.random.default_rng(9).gamma(0.3, 4.0, (1 << bits, 3)) for bits in (langid.TRI_BITS, langid.BI_BITS)))
+    texts = [" ".join("".join(r.choice(r.choice(["abcde", "vwxyz", "klmno"])) for _ in range(5)) for _ in range(r.randint(1, 60))) for _ in range(25)]
+    got = model.mixtures([*texts, None, "12 !"])
+    assert not got[25:].any()
+
+    def em(scores, allowed):
+        share = [1 / len(allowed) if k in allowed else 0.0 for k in range(3)]
+        for _ in range(langid.EM_ROUNDS):
+            parts = []
+            for s in scores:
+                top = max(s)
+                p = [share[k] * math.exp(max(s[k] - top, -700.0)) for k in range(3)]
+                parts.append([x / max(sum(p), 1e-300) for x in p])
+            share = [sum(p[k] for p in parts) / len(scores) for k in range(3)]
+        return share, sum(max(s) + math.log(max(sum(share[k] * math.exp(max(s[k] - max(s), -700.0)) for k in range(3)), 1e-300)) for s in scores)
+
+    for text, mine in zip(texts, got[:25], strict=True):
+        scores = [s.tolist() for s in model.word_scores([text])[0]]
+        cost = 0.5 * math.log(max(len(scores), 2))
+        allowed = {0, 1, 2}
+        share, ll = em(scores, allowed)
+        alone = [sum(s[k] for s in scores) for k in range(3)]
+        if ll - max(alone) <= cost:
+            share = [float(k == alone.index(max(alone))) for k in range(3)]
+        else:
+            value = ll - cost * 2
+            while len(allowed) > 1:
+                fewer = allowed - {min(allowed, key=lambda k: share[k])}
+                trial, ll = em(scores, fewer)
+                if ll - cost * (len(fewer) - 1) < value:
+                    break
+                allowed, share, value = fewer, trial, ll - cost * (len(fewer) - 1)
+        assert mine == pytest.approx(share, abs=1e-9)
+
+
+def test_long_texts_have_the_same_mixture(monkeypatch):
+    r = random.Random(5)
+    model = langid.LanguageModel(["a", "b"], *(np.random.default_rng(9).gamma(0.3, 4.0, (1 << bits, 2)) for bits in (langid.TRI_BITS, langid.BI_BITS)))
+    text = "\n".join("".join(r.choice("abcde vwxyz") for _ in range(90)) for _ in range(60))
+    want = model.mixtures([text])
+    monkeypatch.setattr(langid, "CHUNK_CHARS", 200)
+    assert model.mixtures([text]) == pytest.approx(want, abs=1e-9)
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs = spark.createDataFrame([(i, "abc abc", "aa") for i in range(50)], "doc_id long, text string, lang string")
     out = docs.where(langid.held_out(F.col("doc_id")))

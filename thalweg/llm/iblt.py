@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -154,33 +155,56 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     in doc_id stand in order of the SHA-256 of their text.  A single document is
     its own next one; an empty table gives no rows.
 
-    Rows are dealt once, into ranges of doc_id whose bounds are ids that exist.
+    Rows are dealt once, into ranges of doc_id whose bounds are ids that exist; rows
+    without doc_id, of which there may be many, into ranges of their texts' SHA-256.
     The first row of a range is thereby known before the shuffle and is sent to
     the range before as well, so each range is read once, in order, row by row.
     """
-    lowest = -(1 << 63)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_o", F.coalesce("doc_id", F.lit(lowest)))
-    n, top = rows.agg(F.count("*"), F.max("_o")).first()
-    if not n:
+    named = F.col("doc_id").isNotNull()
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("_sha", F.when(~named, F.sha2("text", 256)))
+    with_id = rows.where(named)
+    n, top, nameless = rows.agg(F.count("doc_id"), F.max("doc_id"), F.count(F.when(~named, 1))).first()
+    if not n + nameless:
         return docs.sparkSession.createDataFrame([], FIELDS)
     k = int(min(MAX_RANGES, max(1, n // DOCS_PER_RANGE)))
-    cuts = rows.agg(F.percentile_approx("_o", [i / k for i in range(1, k)], 20 * k).alias("c")).first()["c"] if k > 1 else []
-    firsts = np.array(sorted({int(top), *map(int, cuts)}, reverse=True), np.int64)  # the first id of each range, in order
+    cuts = with_id.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k).alias("c")).first()["c"] if k > 1 else []
+    about = np.unique(np.array([int(x) for x in cuts], np.int64))
+
+    @F.pandas_udf("int")
+    def between(ids):
+        return ids.__class__(np.searchsorted(about, ids.to_numpy(np.int64)).astype(np.int32))
+
+    # percentiles of large ids aren't exact: the largest id there is up to each of them is
+    tops = with_id.groupBy(between("doc_id")).agg(F.max("doc_id").alias("t")).collect() if len(about) else []
+    firsts = np.array(sorted({int(x) for x in [top, *(r["t"] for r in tops)] if x is not None}, reverse=True), np.int64)  # the first id of each range, in order
     down = ~firsts  # ascending; unlike a negative it exists for every number
-    count = len(firsts)
+    # as many leading digits of the hash as there are ranges to make, four at most
+    digits = min(4, max(0, int(np.ceil(np.log2(max(1, nameless / DOCS_PER_RANGE)) / 4))))
+    least = sorted(r["s"] for r in rows.where(~named).groupBy(F.substring("_sha", 1, digits)).agg(F.min("_sha").alias("s")).collect()) if nameless else []
+    count = len(firsts) + len(least)
 
     @F.pandas_udf("array<int>")
-    def ranges(ids):
-        """The range of an id and, for a range's first id, the range before."""
-        v = ids.to_numpy(np.int64)
-        own = np.searchsorted(down, ~v, "right") - 1
+    def ranges(ids, hashes):
+        """The range of a row and, for a range's first one, the range before."""
         import pandas as pd
 
-        return pd.Series([[int(r)] + [int(r - 1) % count] * bool(firsts[r] == x) for r, x in zip(own, v, strict=True)])
-
-    dealt = rows.withColumn("_r", ranges("_o")).select("doc_id", "text", "_o", F.posexplode("_r").alias("_extra", "_range"))
+        out = []
+        known = hashes.isna().to_numpy()
+        own = np.searchsorted(down, ~ids.to_numpy(np.int64), "right") - 1 if len(down) else np.zeros(len(ids), np.int64)
+        for i, h, has, at in zip(ids, hashes, known, own, strict=True):
+            if has:
+                first = int(firsts[at]) == int(i)
+            else:
+                at = bisect_right(least, h) - 1
+                first = least[at] == h
+                at += len(firsts)
+            out.append([int(at)] + [int(at - 1) % count] * first)
+        return pd.Series(out)
+
+    dealt = rows.select("doc_id", "text", "_sha", F.posexplode(ranges(F.coalesce("doc_id", F.lit(0)), F.col("_sha"))).alias("_extra", "_range"))
     # in each range: its own rows in order, then the next range's first row
-    ordered = dealt.repartitionById(count, "_range").sortWithinPartitions("_range", "_extra", F.col("_o").desc(), F.sha2("text", 256))
+    ordered = dealt.repartitionById(count, "_range").sortWithinPartitions("_range", "_extra", F.col("doc_id").desc_nulls_last(), F.coalesce("_sha", F.sha2("text", 256)))
 
     def compare(batches):
         pending: list[tuple[int | None, str, str]] = []

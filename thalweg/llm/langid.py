@@ -9,6 +9,7 @@ by removing the weakest language as long as the criterion doesn't fall.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,6 +30,7 @@ EM_ROUNDS = 12
 #: Work on at most about this many characters at a time.
 CHUNK_CHARS = 1 << 18
 UNDETERMINED = "und"
+_GAP = re.compile(r"[ \n]")
 
 
 @cache
@@ -48,6 +50,16 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text in parts of about CHUNK_CHARS characters, cut at spaces and line ends."""
+    at = 0
+    while at < len(text):
+        found = _GAP.search(text, at + CHUNK_CHARS)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of some documents' letters: trigram bucket, context bucket, where words
     start, and each word's document.  A context never reaches across a word's start."""
@@ -81,41 +93,50 @@ class LanguageModel:
         self.tri = np.log(tri + ALPHA / LETTERS).astype(np.float32)
         self.bi = np.log(bi + ALPHA).astype(np.float32)
 
-    def word_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def word_scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores by language, document, how often) of words.  A long text's words come
+        once each, so that it takes memory for its different words."""
+        if len(texts) == 1 and len(texts[0] or "") > 2 * CHUNK_CHARS:
+            scores, counts = np.zeros((0, len(self.langs))), np.zeros(0)
+            for piece in _pieces(texts[0]):
+                more, _, _ = self.word_scores([piece])
+                scores, place = np.unique(np.concatenate((scores, more)), axis=0, return_inverse=True)
+                counts = np.bincount(place.ravel(), np.concatenate((counts, np.ones(len(more)))), len(scores))
+            return scores, np.zeros(len(scores), np.int64), counts
         tri, bi, starts, doc = _grams(texts)
         if not len(tri):
-            return np.zeros((0, len(self.langs))), doc
-        return np.add.reduceat(self.tri[tri] - self.bi[bi], starts, axis=0, dtype=np.float64), doc
+            return np.zeros((0, len(self.langs))), doc, np.zeros(0)
+        return np.add.reduceat(self.tri[tri] - self.bi[bi], starts, axis=0, dtype=np.float64), doc, np.ones(len(doc))
 
     def mixtures(self, texts: list[str | None]) -> np.ndarray:
         """Proportions (documents x languages), 0 outside the chosen set; a row of
         zeros for a document without letters."""
         n, k = len(texts), len(self.langs)
         out = np.zeros((n, k))
-        score, doc = self.word_scores(texts)
+        score, doc, often = self.word_scores(texts)
         if not len(doc):
             return out
         first = np.flatnonzero(np.diff(doc, prepend=-1))
-        ids, count = doc[first], np.diff(np.append(first, len(doc)))
+        ids, count, words_of = doc[first], np.diff(np.append(first, len(doc))), np.add.reduceat(often, first)
         top = score.max(axis=1, keepdims=True)
         like = np.exp(np.maximum(score - top, -700.0))
-        base = np.add.reduceat(top[:, 0], first)
+        base = np.add.reduceat(top[:, 0] * often, first)
 
-        def fit(like, first, count, allowed):
+        def fit(like, first, count, allowed, often):
             share = allowed / allowed.sum(axis=1, keepdims=True)
             for i in range(EM_ROUNDS + 1):
                 part = like * np.repeat(share, count, axis=0)
                 total = part.sum(axis=1)
                 if i == EM_ROUNDS:
                     break
-                part /= np.maximum(total, 1e-300)[:, None]
-                share = np.add.reduceat(part, first, axis=0) / count[:, None]
-            return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)), first)
+                part *= (often / np.maximum(total, 1e-300))[:, None]
+                share = np.add.reduceat(part, first, axis=0) / np.add.reduceat(often, first)[:, None]
+            return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)) * often, first)
 
-        penalty = 0.5 * np.log(np.maximum(count, 2.0))
-        single = np.add.reduceat(score, first, axis=0)
+        penalty = 0.5 * np.log(np.maximum(words_of, 2.0))
+        single = np.add.reduceat(score * often[:, None], first, axis=0)
         best = single.argmax(axis=1)
-        share, ll = fit(like, first, count, np.ones((len(ids), k)))
+        share, ll = fit(like, first, count, np.ones((len(ids), k)), often)
         alone = ll + base - single.max(axis=1) <= penalty
         out[ids[alone], best[alone]] = 1.0
         # the others: take away the weakest language while that pays
@@ -128,7 +149,7 @@ class LanguageModel:
             weakest = np.where(allowed > 0, now, np.inf).argmin(axis=1)
             fewer = allowed.copy()
             fewer[np.arange(len(live)), weakest] = 0
-            trial, ll2 = fit(part, begin, n_words, fewer)
+            trial, ll2 = fit(part, begin, n_words, fewer, often[~words])
             value2 = ll2 - penalty[live] * (fewer.sum(axis=1) - 1)
             pays = value2 >= value
             out[ids[live[~pays]]] = now[~pays]

@@ -14,6 +14,7 @@ import hashlib
 import hmac
 import ipaddress
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -135,7 +136,24 @@ def _key(kind: str, value: str) -> str:
     return value.lower() if kind == "email" else value
 
 
-def _mentions(text: str, named: list[tuple[int, int, str, str]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
+class _Spans:
+    """Spans of a text that don't overlap."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] > a or i < len(self.starts) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_right(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
+def _mentions(text: str, named: list[tuple[int, int, str, str]], taken: _Spans) -> Iterator[tuple[int, int, str, str]]:
     """Occurrences, outside of ``taken``, of words of the names found in the text.  A
     word that is both a given and a last name is given if another name follows; of
     several genders the nearest one before counts, or else the first."""
@@ -147,12 +165,13 @@ def _mentions(text: str, named: list[tuple[int, int, str, str]], taken: list[tup
         for w in [m] if whole else re.finditer(r"[^-']+", m[0]):
             a, b = (w.start() + (not whole) * m.start(), w.end() + (not whole) * m.start())
             uses = known.get(text[a:b].casefold())
-            if not uses or any(a < y and x < b for x, y in taken):
+            if not uses or taken.meets(a, b):
                 continue
             after = _AFTER.match(text, b)
             given = bool(after) and after[1].casefold() in known
             uses = [u for u in uses if (u[1] != "name") == given] or uses
-            kind = next((kind for at, kind in reversed(uses) if at < a), uses[0][1])
+            before = bisect_left(uses, a, key=lambda u: u[0])
+            kind = uses[max(0, before - 1)][1]
             yield a, b, kind, text[a:b].casefold()
 
 
@@ -165,7 +184,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     out: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = _Spans()
     for kind, pattern in _ALL:
         for m in pattern.finditer(text):
             if kind == "name":
@@ -178,8 +197,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                     continue
                 spans = [(a, b, kind, _key(kind, text[a:b]))]
             a, b = spans[0][0], spans[-1][1]
-            if not any(a < y and x < b for x, y in taken):
-                taken.append((a, b))
+            if not taken.meets(a, b):
+                taken.add(a, b)
                 out += spans
     if named := [f for f in out if f[2].startswith("name")]:
         out += _mentions(text, named, taken)
