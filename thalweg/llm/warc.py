@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import saved, scratch
+from thalweg.llm.common import IdFilter, fresh, saved, scratch
 
 #: Smaller payloads are always written in full.
 MIN_REVISIT = 1000
@@ -229,17 +229,15 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     revisits the largest one there is, and if there is none, nothing.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keyed = pages.select("page_id", "url", "html", F.octet_length(payload).alias("_n"), F.sha1(payload).alias("_d"))
-    groups = (
-        keyed.where(F.col("_n") >= min_bytes)
-        .groupBy("_d", "_n")
-        .agg(F.max("page_id").alias("_keep"), F.count("*").alias("_k"))
-        .where("_k > 1")
-        .select("_d", "_n", "_keep")
-    )
-    return keyed.join(groups, ["_d", "_n"], "left").select(
-        "page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("_keep")), F.col("_keep")).alias("refers_to")
-    )
+    n, d, keep = fresh([*pages.columns, "refers_to"], "n", "d", "keep")
+    keyed = pages.select("page_id", "url", "html", F.octet_length(payload).alias(n), F.sha1(payload).alias(d))
+    groups = keyed.where(F.col(n) >= min_bytes).groupBy(d, n).agg(F.max("page_id").alias(keep), F.count("*").alias("k")).where("k > 1")
+    # only payloads that occur again are shuffled; the written table lets the join be split at frequent ones
+    groups = saved(groups.select(d, n, keep), "repeated-payloads")
+    again = IdFilter(groups, d)
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col(keep)), F.col(keep)).alias("refers_to")
+    some = keyed.where(again.holds(d)).join(groups, [d, n], "left").select("page_id", "url", "html", refers)
+    return keyed.where(~again.holds(d)).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(some)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
