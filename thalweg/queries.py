@@ -448,7 +448,10 @@ def q_streams(spark, d):
     return streams.segments(n3(spark, d))
 
 
-@query()
+@query(_sql(N3, SEGMENT, "l AS (SELECT seg, count(*) AS l FROM s GROUP BY seg HAVING count(*) > 1)",
+            "k AS (SELECT seg, l, CASE WHEN l > 4 AND l / 4.0 > 1.5 THEN CAST(round_even(l / 4.0, 0) AS BIGINT) ELSE 1 END AS k FROM l)", "m AS (SELECT seg, k, CAST(round_even(l / CAST(k AS DOUBLE), 0) AS BIGINT) AS n FROM k)",
+            "a AS (SELECT seg, k, n, pos, idx, least(pos // n, k - 1) AS own FROM s JOIN m USING (seg))",
+            select="SELECT seg, CAST(own AS INT) AS part, CAST(pos - own * n AS BIGINT) AS pos, idx FROM a UNION ALL SELECT seg, CAST(own - 1 AS INT), CAST(pos - (own - 1) * n AS BIGINT), idx FROM a WHERE pos % n = 0 AND pos > 0 AND pos // n < k UNION ALL SELECT DISTINCT s.idx, -1, x.k, s.idx FROM s JOIN net n ON n.idx = s.idx AND n.ds = n.idx, (VALUES (0::BIGINT), (1::BIGINT)) x(k)"))
 def q_streams_split(spark, d):
     return streams.segments(n3(spark, d), max_len=4)
 
@@ -496,7 +499,17 @@ def q_interbasin_mask(spark, d):
     return basins.interbasin(net, net.cells.where(REGION).select("idx"))
 
 
-@query()
+def _streamorder_sql() -> str:
+    order = _strahler_sql().removeprefix("WITH RECURSIVE ")
+    ctes, _, last = order.rpartition("\nSELECT")
+    return "WITH RECURSIVE " + ctes + ",\n" + f"""so AS (SELECT {last}),
+sub AS (SELECT net.idx FROM net JOIN so USING (idx) JOIN so b ON b.idx = net.ds WHERE so."order" >= (SELECT max("order") - 2 FROM so) AND (so."order" <> b."order" OR net.idx = ds)),
+ids AS (SELECT idx, row_number() OVER (ORDER BY rank, idx) AS basin FROM sub JOIN r USING (idx)),
+t(idx, basin) AS (SELECT idx, basin FROM ids UNION ALL SELECT n.idx, t.basin FROM net n JOIN t ON n.ds = t.idx AND n.idx <> n.ds WHERE n.idx NOT IN (SELECT idx FROM ids))
+SELECT idx, basin FROM t"""
+
+
+@query(_streamorder_sql())
 def q_subbasins_streamorder(spark, d):
     net = n3(spark, d)
     return basins.subbasins_streamorder(net, streams.stream_order(net))
@@ -601,7 +614,33 @@ def q_slope(spark, d):
     return elevation.slope(z, g).select("idx", F.round("slope", 3).alias("slope"))
 
 
-@query()
+FLOODED = """
+WITH RECURSIVE z AS (SELECT o_orderkey AS idx, o_orderkey // 100 AS r, o_orderkey % 100 AS c, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) AS elev FROM orders),
+e AS MATERIALIZED (SELECT a.idx AS a, b.idx AS b, b.elev FROM z a JOIN z b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.idx <> b.idx AND b.idx BETWEEN a.idx - 101 AND a.idx + 101),
+st AS MATERIALIZED (SELECT z.idx, z.elev FROM z LEFT JOIN e ON e.a = z.idx GROUP BY z.idx, z.elev HAVING count(e.b) < 8),
+w(idx, elev) USING KEY (idx) AS (
+  SELECT idx, elev FROM st
+  UNION
+  SELECT e.b, min(greatest(w.elev, e.elev)) FROM w JOIN e ON e.a = w.idx LEFT JOIN recurring.w AS k ON k.idx = e.b
+  WHERE k.idx IS NULL OR greatest(w.elev, e.elev) < k.elev GROUP BY e.b),
+n AS MATERIALIZED (SELECT e.a, e.b, x.elev AS wa, y.elev AS wb, st.idx IS NOT NULL AS sb FROM e JOIN w x ON x.idx = e.a JOIN w y ON y.idx = e.b LEFT JOIN st ON st.idx = e.b),
+f(idx, d) USING KEY (idx) AS (
+  SELECT DISTINCT a, 0 FROM n WHERE wb < wa
+  UNION
+  SELECT n.b, min(f.d + 1) FROM f JOIN n ON n.a = f.idx AND n.wa = n.wb LEFT JOIN recurring.f AS k ON k.idx = n.b WHERE k.idx IS NULL OR f.d + 1 < k.d GROUP BY n.b),
+own AS MATERIALIZED (SELECT idx FROM st WHERE idx NOT IN (SELECT idx FROM f)),
+g(idx, d) USING KEY (idx) AS (
+  SELECT idx, 0 FROM own
+  UNION
+  SELECT n.b, min(g.d + 1) FROM g JOIN n ON n.a = g.idx AND n.wa = n.wb LEFT JOIN recurring.g AS k ON k.idx = n.b WHERE k.idx IS NULL OR g.d + 1 < k.d GROUP BY n.b),
+far AS MATERIALIZED (SELECT idx, d FROM f UNION ALL SELECT idx, d FROM g),
+way AS (SELECT n.a AS idx, min({'w': wb, 'd': y.d, 's': CASE WHEN sb THEN 1 ELSE 0 END, 'b': n.b}).b AS ds
+        FROM n JOIN far x ON x.idx = n.a JOIN far y ON y.idx = n.b WHERE wb < wa OR (wb = wa AND y.d < x.d) GROUP BY n.a),
+net AS (SELECT w.idx, w.elev, CASE WHEN own.idx IS NOT NULL THEN w.idx ELSE coalesce(way.ds, w.idx) END AS ds FROM w LEFT JOIN way USING (idx) LEFT JOIN own USING (idx))
+"""
+
+
+@query(FLOODED + "SELECT i.idx, net.elev, CASE WHEN net.idx IS NULL THEN 247 WHEN ds = net.idx THEN 0 ELSE CASE ds - net.idx WHEN 1 THEN 1 WHEN 101 THEN 2 WHEN 100 THEN 4 WHEN 99 THEN 8 WHEN -1 THEN 16 WHEN -101 THEN 32 WHEN -100 THEN 64 WHEN -99 THEN 128 END END AS code FROM (SELECT unnest(range(max(idx) // 100 * 100 + 100)) AS idx FROM z) i LEFT JOIN net USING (idx)")
 def q_fill_depressions(spark, d):
     z, g = heights(spark, d)
     return elevation.fill_depressions(z, g)
@@ -625,7 +664,7 @@ def q_filled_surface(spark, d):
     return elevation.filled_surface(z, g)
 
 
-@query()
+@query(FLOODED + "SELECT idx, ds AS idx_ds FROM net")
 def q_from_dem(spark, d):
     z, g = heights(spark, d)
     return FlowNetwork.from_elevation(z, g).cells
@@ -712,17 +751,55 @@ def _scaled(spark, d, method):
     return net, *upscale.upscale(net, FACTOR, method)
 
 
-@query()
+N1_REPAIRED = N1.replace("net AS", "net0 AS") + """,
+k0(idx) AS (SELECT idx FROM net0 WHERE idx = ds UNION ALL SELECT n.idx FROM net0 n JOIN k0 ON n.ds = k0.idx AND n.idx <> n.ds),
+net AS (SELECT net0.idx, CASE WHEN k0.idx IS NULL THEN net0.idx ELSE ds END AS ds FROM net0 LEFT JOIN k0 USING (idx)),
+px AS (SELECT idx, ds, idx // 1000 * 10 + idx % 100 // 10 AS cell, ds // 1000 * 10 + ds % 100 // 10 AS cell_ds, idx // 100 AS r, idx % 100 AS c,
+       idx // 100 % 10 IN (0, 9) OR idx % 10 IN (0, 9) AS edge,
+       sqrt(abs(idx // 100 % 10 - 4.5)) + sqrt(abs(idx % 10 - 4.5)) <= sqrt(5.0) OR abs(idx // 100 % 10 - 4.5) <= 0.5 OR abs(idx % 10 - 4.5) <= 0.5 AS inside FROM net)"""
+
+
+def _rep(area: str) -> str:
+    return f"rep AS (SELECT cell, -max({{'a': uparea, 'i': -idx}}).i AS pixel FROM px JOIN area USING (idx) WHERE {area} OR idx = ds GROUP BY cell)"
+
+
+DMM = """ex AS (SELECT rep.cell, pixel, (floor(r / 10.0) + floor(r % 10 / 5.0)) * 10 - 0.5 AS r0, (floor(c / 10.0) + floor(c % 10 / 5.0)) * 10 - 0.5 AS c0 FROM rep JOIN px ON px.idx = pixel),
+w(cell, r0, c0, idx, done) AS (
+  SELECT ex.cell, r0, c0, px.idx, px.idx = px.ds OR (px.cell_ds <> ex.cell AND (abs(r - r0) > 5 OR abs(c - c0) > 5)) FROM ex JOIN px ON px.idx = pixel
+  UNION ALL
+  SELECT w.cell, r0, c0, n.idx, n.idx = n.ds OR (n.cell_ds <> w.cell AND (abs(n.r - r0) > 5 OR abs(n.c - c0) > 5)) FROM w JOIN px p ON p.idx = w.idx JOIN px n ON n.idx = p.ds WHERE NOT done)"""
+EAM = """w(cell, idx, done) AS (
+  SELECT rep.cell, n.idx, (n.inside AND n.cell <> rep.cell) OR n.idx = n.ds FROM rep JOIN px p ON p.idx = pixel JOIN px n ON n.idx = p.ds
+  UNION ALL
+  SELECT w.cell, n.idx, (n.inside AND n.cell <> w.cell) OR n.idx = n.ds FROM w JOIN px p ON p.idx = w.idx JOIN px n ON n.idx = p.ds WHERE NOT done)"""
+PLUS = """last(cell, idx, done) AS (
+  SELECT rep.cell, p.idx, p.cell <> p.cell_ds OR p.idx = p.ds FROM rep JOIN px p ON p.idx = pixel
+  UNION ALL
+  SELECT l.cell, n.idx, n.cell <> n.cell_ds OR n.idx = n.ds FROM last l JOIN px p ON p.idx = l.idx JOIN px n ON n.idx = p.ds WHERE NOT done),
+out AS (SELECT cell, idx AS pixel FROM last WHERE done),
+w(cell, idx, passed, done) AS (
+  SELECT o.cell, n.idx, CASE WHEN n.inside OR n.idx = n.ds THEN n.idx END, n.idx IN (SELECT pixel FROM out) OR n.idx = n.ds FROM out o JOIN px p ON p.idx = o.pixel JOIN px n ON n.idx = p.ds
+  UNION ALL
+  SELECT w.cell, n.idx, coalesce(w.passed, CASE WHEN n.inside OR n.idx = n.ds THEN n.idx END), n.idx IN (SELECT pixel FROM out) OR n.idx = n.ds FROM w JOIN px p ON p.idx = w.idx JOIN px n ON n.idx = p.ds WHERE NOT done),
+far(cell, idx, passed) AS (
+  SELECT cell, idx, passed FROM w WHERE done
+  UNION ALL
+  SELECT f.cell, n.idx, CASE WHEN n.inside OR n.idx = n.ds THEN n.idx END FROM far f JOIN px p ON p.idx = f.idx JOIN px n ON n.idx = p.ds WHERE f.passed IS NULL),
+nxt AS (SELECT w.cell, a.cell AS there, a.idx AS outlet, f.passed FROM w JOIN px a ON a.idx = w.idx JOIN far f ON f.cell = w.cell AND f.passed IS NOT NULL WHERE w.done),
+coarse AS (SELECT nxt.cell, CASE WHEN abs(nxt.cell // 10 - there // 10) <= 1 AND abs(nxt.cell % 10 - there % 10) <= 1 THEN there ELSE p.cell END AS ds, outlet FROM nxt JOIN px p ON p.idx = passed)"""
+
+
+@query(_sql(N1_REPAIRED, RANK, PAIRS, AREA, _rep("edge"), DMM, select="SELECT w.cell AS idx, px.cell AS idx_ds FROM w JOIN px ON px.idx = w.idx WHERE done"))
 def q_upscale_dmm(spark, d):
     return _scaled(spark, d, "dmm")[1].cells
 
 
-@query()
+@query(_sql(N1_REPAIRED, RANK, PAIRS, AREA, _rep("inside"), EAM, select="SELECT w.cell AS idx, px.cell AS idx_ds FROM w JOIN px ON px.idx = w.idx WHERE done"))
 def q_upscale_eam(spark, d):
     return _scaled(spark, d, "eam")[1].cells
 
 
-@query()
+@query(_sql(N1_REPAIRED, RANK, PAIRS, AREA, _rep("inside"), PLUS, select="SELECT cell AS idx, ds AS idx_ds FROM coarse"))
 def q_upscale_eam_plus(spark, d):
     return _scaled(spark, d, "eam_plus")[1].cells
 
@@ -732,7 +809,7 @@ def q_upscale_ihu(spark, d):
     return _scaled(spark, d, "ihu")[1].cells
 
 
-@query()
+@query(_sql(N1_REPAIRED, RANK, PAIRS, AREA, _rep("inside"), PLUS, select="SELECT coarse.cell, CASE WHEN outlet = o.pixel THEN 1 ELSE 0 END AS connected FROM coarse LEFT JOIN out o ON o.cell = coarse.ds"))
 def q_upscale_error(spark, d):
     return upscale.upscale_error(*_scaled(spark, d, "eam_plus"))
 
