@@ -23,15 +23,16 @@ def strahler_order(net: FlowNetwork, mask: DataFrame | None = None) -> DataFrame
     """(idx, order): Strahler order, 0 outside the mask.
 
     By peeling: cells of order above s are those downstream of a cell at which
-    two branches of order s meet, so there is one upstream fold per order.
+    two branches of order s meet, so there is one upstream fold per order, each over
+    what the one before left: a network that shrinks by about three quarters.
     """
-    cells = saved(_masked(net, mask), "strahler")
-    level, peeled = cells.select("idx"), []
-    while not level.isEmpty():
-        peeled.append(level)
-        joined = cells.join(level, "idx", "left_semi").where("idx <> idx_ds").groupBy(F.col("idx_ds").alias("idx")).agg(F.count("*").alias("n")).where("n > 1")
-        marked = cells.join(joined.select("idx", F.lit(1).alias("up")), "idx", "left")
-        level = saved(descend(marked, {"up": "max"}, net.block).where("up = 1").select("idx"), "peel")
+    cells, peeled = saved(_masked(net, mask), "strahler"), []
+    while not cells.isEmpty():
+        peeled.append(cells.select("idx"))
+        meets = cells.where("idx <> idx_ds").groupBy(F.col("idx_ds").alias("idx")).agg(F.count("*").alias("n")).where("n > 1")
+        marked = cells.join(meets.select("idx", F.lit(1).alias("up")), "idx", "left")
+        above = descend(marked, {"up": "max"}, net.block).where("up = 1").select("idx")
+        cells = saved(cells.join(above, "idx", "left_semi"), "peel")
     ones = peeled[0].select("idx", F.lit(1).alias("s"))
     for p in peeled[1:]:
         ones = ones.unionByName(p.select("idx", F.lit(1).alias("s")))

@@ -418,6 +418,22 @@ def q_stream_distance(spark, d):
     return net.stream_distance(net.cells.where("idx % 29 = 4").select("idx"))
 
 
+def _tiled(spark, d) -> FlowNetwork:
+    """The raster's network in tiles so small that paths cross several."""
+    net = n1(spark, d)
+    return FlowNetwork(net.cells, GridSpec(net.grid.nrow, net.grid.ncol, tile=16))
+
+
+@query(_sql(N1, RANK, PAIRS, select="SELECT anc AS idx, count(*) AS uparea FROM p GROUP BY anc"))
+def q_upstream_area_tiles(spark, d):
+    return _tiled(spark, d).upstream_area()
+
+
+@query(_sql(N1, RANK, select="SELECT net.idx, coalesce(rank, -1) AS rank FROM net LEFT JOIN r USING (idx)"))
+def q_rank_tiles(spark, d):
+    return _tiled(spark, d).rank()
+
+
 # --- streams
 def _strahler_sql(levels: int = 9) -> str:
     ctes = ["a1 AS (SELECT idx FROM r)"]
