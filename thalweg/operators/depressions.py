@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.encodings import D8_STEPS
-from thalweg.functions.grid import NEIGHBOURS, GridSpec, edge_cells
+from thalweg.functions.grid import NEIGHBOURS, GridSpec
 from thalweg.plans import saved
 
 #: D8 code of a cell whose water goes by (row step, column step).
@@ -36,7 +36,7 @@ def steps_of(connectivity: int) -> list[tuple[int, int]]:
     return [s for s in NEIGHBOURS if connectivity == 8 or 0 in s]
 
 
-def _shifted(a: np.ndarray, dr: int, dc: int, fill) -> np.ndarray:
+def shifted(a: np.ndarray, dr: int, dc: int, fill) -> np.ndarray:
     """Each cell's neighbour by (dr, dc); ``fill`` off the array."""
     out = np.full_like(a, fill)
     n, m = a.shape
@@ -50,7 +50,7 @@ def _links(steps, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left, right = [], []
     for dr, dc in steps:
         if (dr, dc) > (0, 0):
-            other = _shifted(at, dr, dc, -1)
+            other = shifted(at, dr, dc, -1)
             both = ok & (other >= 0)
             both[both] = ok.ravel()[other[both]]
             left.append(at[both])
@@ -168,7 +168,7 @@ def directions(w: np.ndarray, root: np.ndarray, far: np.ndarray, start: np.ndarr
     key = [w.copy(), far.copy(), start.astype(np.int64), number.copy()]
     best = [np.full(w.shape, np.inf), np.full(w.shape, FAR), np.full(w.shape, FAR), np.full(w.shape, FAR)]
     for dr, dc in steps:
-        other = [_shifted(k, dr, dc, fill) for k, fill in zip(key, (np.inf, FAR, FAR, FAR), strict=True)]
+        other = [shifted(k, dr, dc, fill) for k, fill in zip(key, (np.inf, FAR, FAR, FAR), strict=True)]
         lower = np.zeros(w.shape, bool)
         equal = np.ones(w.shape, bool)
         for mine, theirs in zip(best, other, strict=True):
@@ -186,7 +186,7 @@ def beside_lower(w: np.ndarray, steps) -> np.ndarray:
     """Whether a cell has a lower neighbour."""
     out = np.zeros(w.shape, bool)
     for dr, dc in steps:
-        out |= _shifted(w, dr, dc, np.inf) < w
+        out |= shifted(w, dr, dc, np.inf) < w
     return out
 
 
@@ -201,7 +201,15 @@ class Tiles:
         g = self.grid
         tile = lambda dr, dc: (F.floor((g.row() + dr) / g.tile) * self.across + F.floor((g.col() + dc) / g.tile)).cast("long")
         ring = [F.when(g.inside(g.row() + dr, g.col() + dc), tile(dr, dc)) for dr, dc in [(0, 0), *NEIGHBOURS]]
-        return cells.withColumn("to", F.explode(F.array_distinct(F.array(*ring)))).where("to is not null")
+        r, c = g.row() % g.tile, g.col() % g.tile
+        rim = (r == 0) | (c == 0) | (r == g.tile - 1) | (c == g.tile - 1)
+        return cells.withColumn("to", F.explode(F.when(rim, F.array_distinct(F.array(*ring))).otherwise(F.array(tile(0, 0))))).where("to is not null")
+
+    def seen(self, idx: np.ndarray) -> np.ndarray:
+        """Whether cells are beside another tile."""
+        g = self.grid
+        r, c = idx // g.ncol, idx % g.ncol
+        return ((r % g.tile == 0) & (r > 0)) | ((c % g.tile == 0) & (c > 0)) | ((r % g.tile == g.tile - 1) & (r < g.nrow - 1)) | ((c % g.tile == g.tile - 1) & (c < g.ncol - 1))
 
     def box(self, table: pa.Table, *columns: tuple[str, object, object]):
         """Arrays of (column, type, fill) over a tile and its rim, the cells' places in
@@ -222,7 +230,7 @@ class Tiles:
         return arrays, (r, c), own, number
 
     def settle(self, cells: DataFrame, relax, schema: str, tag: str) -> DataFrame:
-        """Apply ``relax`` to all tiles until no row comes back as moved."""
+        """Apply ``relax`` to all tiles until no row that another tile sees comes back as moved."""
         while True:
             after = saved(self.sent(cells).groupBy("to").applyInArrow(relax, f"{schema}, moved boolean"), tag)
             if after.where("moved").isEmpty():
@@ -230,12 +238,26 @@ class Tiles:
             cells = after.drop("moved")
 
 
-def levels(cells: DataFrame, starts: DataFrame, grid: GridSpec, connectivity: int = 8) -> DataFrame:
-    """(idx, z, w, start) from valid cells (idx, z) and start cells (idx); w is infinite
-    for cells that no start leads to."""
+def at_edge(cells: DataFrame, grid: GridSpec, connectivity: int = 8) -> DataFrame:
+    """Valid cells (idx, z) with ``start``: whether a neighbour is missing or off the grid."""
+    steps, tiles = steps_of(connectivity), Tiles(grid)
+
+    def mark(table: pa.Table) -> pa.Table:
+        (z,), at, own, number = tiles.box(table, ("z", float, np.nan))
+        open_side = np.zeros(z.shape, bool)
+        for dr, dc in steps:
+            open_side |= np.isnan(shifted(z, dr, dc, np.nan))
+        r, c = at[0][own], at[1][own]
+        return pa.table({"idx": number[r, c], "z": z[r, c], "start": open_side[r, c]})
+
+    return tiles.sent(cells).groupBy("to").applyInArrow(mark, "idx long, z double, start boolean")
+
+
+def levels(marked: DataFrame, grid: GridSpec, connectivity: int = 8) -> DataFrame:
+    """(idx, z, w, start) from valid cells (idx, z, start); w is infinite for cells that
+    no start leads to."""
     steps, tiles = steps_of(connectivity), Tiles(grid)
-    marked = cells.join(starts.select("idx", F.lit(True).alias("start")).distinct(), "idx", "left").withColumn("start", F.coalesce("start", F.lit(False)))
-    now = saved(marked.withColumn("w", F.when(F.col("start"), F.col("z")).otherwise(F.lit(float("inf")))), "levels")
+    now = marked.withColumn("w", F.when(F.col("start"), F.col("z")).otherwise(F.lit(float("inf"))))
 
     def relax(table: pa.Table) -> pa.Table:
         (z, w, start), at, own, _ = tiles.box(table, ("z", float, np.nan), ("w", float, np.inf), ("start", bool, False))
@@ -243,7 +265,7 @@ def levels(cells: DataFrame, starts: DataFrame, grid: GridSpec, connectivity: in
         found = np.minimum(spill_levels(z, ways, steps), w)
         idx = table.column("idx").to_numpy()[own]
         r, c = at[0][own], at[1][own]
-        return pa.table({"idx": idx, "z": z[r, c], "start": start[r, c], "w": found[r, c], "moved": found[r, c] < w[r, c]})
+        return pa.table({"idx": idx, "z": z[r, c], "start": start[r, c], "w": found[r, c], "moved": (found[r, c] < w[r, c]) & tiles.seen(idx)})
 
     return tiles.settle(now.select("idx", "z", "start", "w"), relax, "idx long, z double, start boolean, w double", "levels")
 
@@ -267,7 +289,7 @@ def drained(surface: DataFrame, grid: GridSpec, connectivity: int = 8) -> DataFr
         new_root, new_far = flat_distances(w, root, far, steps)
         r, c = at[0][own], at[1][own]
         moved = (new_root != root) | (new_far != far)
-        return pa.table({"idx": number[r, c], "z": z[r, c], "w": w[r, c], "start": start[r, c], "root": new_root[r, c], "far": new_far[r, c], "moved": moved[r, c]})
+        return pa.table({"idx": number[r, c], "z": z[r, c], "w": w[r, c], "start": start[r, c], "root": new_root[r, c], "far": new_far[r, c], "moved": moved[r, c] & tiles.seen(number[r, c])})
 
     now = tiles.settle(now, relax, schema, "flats")
 
@@ -306,27 +328,26 @@ def fill_depressions(elevation: DataFrame, grid: GridSpec, outlets: str = "edge"
     with ``outlets="min"`` over the lowest of these cells only.  With ``max_depth`` >= 0,
     depressions of that depth or more stay and drain to their lowest cell.
     """
-    cells = saved(_valid(elevation), "elevation")
+    flagged = lambda c, starts: c.drop("start").join(starts.select("idx", F.lit(True).alias("start")).distinct(), "idx", "left").withColumn("start", F.coalesce("start", F.lit(False)))
     if pits is None:
-        starts = edge_cells(cells, grid, connectivity).join(cells, "idx")
+        cells = at_edge(_valid(elevation), grid, connectivity)
         if elv_max is not None:
-            starts = starts.where(F.col("z") <= elv_max)
+            cells = cells.withColumn("start", F.col("start") & (F.col("z") <= elv_max))
+        cells = saved(cells, "cells")
+        if cells.where("start").isEmpty():
+            raise ValueError("there is no cell to start from")
     else:
-        starts = cells.join(pits.select(F.col("idx").cast("long")).distinct(), "idx", "left_semi")
-    starts = saved(starts.select("idx", "z"), "starts")
-    if pits is None and starts.isEmpty():
-        raise ValueError("there is no cell to start from")
+        cells = saved(flagged(_valid(elevation), pits.select(F.col("idx").cast("long"))), "cells")
     if outlets == "min":
-        starts = starts.agg(F.min(F.struct("z", "idx")).alias("o")).where("o is not null").select("o.idx")
-    starts = starts.select("idx")
+        cells = saved(flagged(cells, cells.where("start").agg(F.min(F.struct("z", "idx")).alias("o")).where("o is not null").select("o.idx")), "cells")
     while True:
-        surface = levels(cells, starts, grid, connectivity)
+        surface = levels(cells, grid, connectivity)
         if max_depth < 0:
             break
         more = saved(_bottoms(surface, grid, max_depth, connectivity), "bottoms")
         if more.isEmpty():
             break
-        starts = saved(starts.unionByName(more).distinct(), "starts")
+        cells = saved(flagged(cells, cells.where("start").select("idx").unionByName(more)), "cells")
     filled = drained(surface, grid, connectivity)
     everywhere = F.when(F.col("w") == float("inf"), F.col("z")).otherwise(F.col("w"))
     every = grid.cells(elevation.sparkSession).select("idx").join(filled.select("idx", everywhere.alias("elev"), "code"), "idx", "left")
@@ -336,5 +357,4 @@ def fill_depressions(elevation: DataFrame, grid: GridSpec, outlets: str = "edge"
 def filled_surface(elevation: DataFrame, grid: GridSpec, connectivity: int = 8) -> DataFrame:
     """(idx, elev): the lowest level at which water leaves each cell over the edge of
     the valid area."""
-    cells = saved(_valid(elevation), "elevation")
-    return levels(cells, edge_cells(cells, grid, connectivity), grid, connectivity).select("idx", F.col("w").alias("elev"))
+    return levels(saved(at_edge(_valid(elevation), grid, connectivity), "cells"), grid, connectivity).select("idx", F.col("w").alias("elev"))

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.functions.grid import NEIGHBOURS, GridSpec, with_neighbours
-from thalweg.operators.depressions import FAR, Tiles, fill_depressions, filled_surface
+from thalweg.functions.grid import NEIGHBOURS, GridSpec
+from thalweg.operators.depressions import FAR, Tiles, fill_depressions, filled_surface, shifted
 from thalweg.operators.network import FlowNetwork
 from thalweg.plans import saved
 
@@ -117,14 +117,23 @@ def dig_4connectivity(net: FlowNetwork, elevation: DataFrame, mask: DataFrame |
 
 def slope(elevation: DataFrame, grid: GridSpec) -> DataFrame:
     """(idx, slope) in m/m by weighted differences over the eight neighbours; those
-    off the grid or missing count as the cell itself."""
-    valid = elevation.where("elev is not null and not isnan(elev)").select("idx", F.col("elev").cast("double").alias("z"))
-    near = with_neighbours(valid, grid, "z")
-    a, b, c, d, f, g, h, i = (F.coalesce(f"n{k}", "z") for k in range(8))
-    row = grid.row()
-    gx = ((c + f * 2 + i) - (a + d * 2 + g)) / (grid.dx(row) * 8)
-    gy = ((g + h * 2 + i) - (a + b * 2 + c)) / (grid.dy(row) * 8)
-    return near.select("idx", F.hypot(gx, gy).alias("slope"))
+    off the grid or missing count as the cell itself.  Tiles read their rims, so what
+    is shuffled is each cell once."""
+    row, tiles = grid.row(), Tiles(grid)
+    valid = elevation.where("elev is not null and not isnan(elev)").select(F.col("idx").cast("long"), F.col("elev").cast("double").alias("z"), grid.dy(row).cast("double").alias("dy"), grid.dx(row).cast("double").alias("dx"))
+
+    def rise(table: pa.Table) -> pa.Table:
+        (z, dy, dx), at, own, number = tiles.box(table, ("z", float, np.nan), ("dy", float, np.nan), ("dx", float, np.nan))
+        across, along = np.zeros(z.shape), np.zeros(z.shape)
+        for dr, dc in NEIGHBOURS:
+            other = shifted(z, dr, dc, np.nan)
+            other = np.where(np.isnan(other), z, other)
+            across += other * dc * (2 - abs(dr))
+            along += other * dr * (2 - abs(dc))
+        r, c = at[0][own], at[1][own]
+        return pa.table({"idx": number[r, c], "slope": np.hypot(across[r, c] / (dx[r, c] * 8), along[r, c] / (dy[r, c] * 8))})
+
+    return tiles.sent(valid).groupBy("to").applyInArrow(rise, "idx long, slope double")
 
 
 def hand(net: FlowNetwork, drain: DataFrame, elevation: DataFrame) -> DataFrame:
@@ -194,7 +203,7 @@ def spread(values: DataFrame, grid: GridSpec, mask: DataFrame | None = None, fri
         (dist, source, cost, dy, dx), at, own, number = tiles.box(table, *columns)
         new, who = nearest(dist, source, cost, dy, dx)
         r, c = at[0][own], at[1][own]
-        moved = (new != dist) | (who != source)
+        moved = ((new != dist) | (who != source)) & tiles.seen(number)
         return pa.table({"idx": number[r, c], "dist": new[r, c], "source": who[r, c], "friction": cost[r, c], "dy": dy[r, c], "dx": dx[r, c], "moved": moved[r, c]})
 
     start = cells.select(
