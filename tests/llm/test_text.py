@@ -451,3 +451,28 @@ def test_private_columns_never_clash(spark):
     found = langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang")))
     assert [list(x)[: len(docs.columns)] for x in found.orderBy("doc_id").collect()] == [[i, "Mr. Smith called", "aa", *names] for i in (1, 2)]
     assert [list(x) for x in ngramjoin.drop_near_duplicates(docs).collect()] == [[1, "Mr. Smith called", "aa", *names]]
+
+
+def test_components(spark, monkeypatch):
+    """By one task, and by rounds of joins, against a plain search."""
+    from thalweg.llm import common
+
+    r = random.Random(2)
+    links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    near: dict[int, set] = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        todo = [] if start in want else [start]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = start
+                todo += near[x]
+    table = spark.createDataFrame(links, "a long, b long")
+    for limit in (common.SMALL_GRAPH, 60, -1):
+        monkeypatch.setattr(common, "SMALL_GRAPH", limit)
+        assert {x["node"]: x["component"] for x in common.components(table).collect()} == want

@@ -111,6 +111,28 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Links that one task unites.
+SMALL_GRAPH = 1 << 13
+
+
+def _united(table):
+    """Links of all nodes with the smallest node of their component."""
+    import numpy as np
+    import pyarrow as pa
+
+    u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while not (root[a] == root[b]).all():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    other = root != np.arange(len(nodes))
+    return pa.table({"u": pa.array(nodes[root[other]], pa.int64()), "v": pa.array(nodes[other], pa.int64())})
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of a link table as (node, component), where component
     is the smallest node reachable.  Nodes without links don't occur.
@@ -118,12 +140,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Alternating large-star and small-star steps: each step is one minimum per
     node (combined before the shuffle) and one join, which adaptive execution can
     split at hot nodes.  Each node's links are replaced by links to its smallest
-    neighbour until nothing changes, so the table never outgrows the first one.
+    neighbour until nothing changes, so the table never outgrows the first one.  What
+    is left of at most SMALL_GRAPH links is finished by one task.
     """
     edges = saved(
         links.select(F.least(a, b).cast("long").alias("u"), F.greatest(a, b).cast("long").alias("v")).where("u < v").distinct(), "links"
     )
     for _ in range(max_rounds):
+        if edges.count() <= SMALL_GRAPH:
+            small = edges.groupBy(F.lit(0).alias("_g")).applyInArrow(_united, "u long, v long")
+            after = saved(small, "small-graph")
+            forget(edges)
+            edges = after
+            break
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the joins can be split at hot nodes
         least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
