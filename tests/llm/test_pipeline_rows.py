@@ -51,3 +51,71 @@ def test_mix_emits_the_words_it_takes(spark):
         got[x["doc_id"], x["source"]] = got.get((x["doc_id"], x["source"]), 0) + len(WORDS.findall(x["text"]))
     assert got == {k: v for k, v in want.items() if v}
     assert corpus_pipeline.mix_sources(spark, docs.where("doc_id = 1000"), "").collect() == []
+
+
+def shingles(t):
+    w = WORDS.findall(t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_the_whole_against_plain_python(spark, tmp_path):
+    """What each stage must do, with loops: rows with ids and texts of their own."""
+    import hashlib
+
+    import sentencepiece
+
+    from thalweg.llm import pieces, pii
+
+    r = random.Random(9)
+    rows = [(i, text(r, r.randint(3, 60)), r.choice(["x", "x", None]), r.choice(["a", "b", "c", None]), 0) for i in range(70)]
+    for i in range(70, 90):  # near and exact copies
+        w = rows[r.randrange(70)][1].split(" ")
+        if i % 2:
+            w[r.randrange(len(w))] = "other"
+        rows.append((i, " ".join(w), "x", r.choice("abc"), 0))
+    rows += [(90, "12 34 !", "x", "a", 0), (91, None, "x", "a", 0), (92, "", "x", "a", 0)]
+    rows += [(i, text(r, 30) + f" write to Mr. Keller or user{i}@mail{i % 3}.example.com", "x", "b", 0) for i in range(93, 100)]
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = {i: (t, s) for i, t, _, s, _ in rows if t and any(c.isalpha() for c in t)}
+    sets = {i: shingles(t) for i, (t, _) in kept.items()}
+    root = {i: i for i in kept}
+    for i in sorted(kept):
+        for j in sorted(kept):
+            if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    kept = {i: v for i, v in kept.items() if root[i] == i}
+    assert len(kept) < 90
+    size = {i: len(WORDS.findall(t)) for i, (t, _) in kept.items()}
+    names = sorted({s for _, s in kept.values() if s is not None}) + [None] * any(s is None for _, s in kept.values())
+    total = {s: sum(size[i] for i in kept if kept[i][1] == s) for s in names}
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    target, free, rest = {}, set(names), sum(total.values())
+    while True:
+        over = {s for s in free if weight[s] * rest / sum(weight[k] for k in free) >= 3 * total[s]}
+        if not over:
+            break
+        target |= {s: 3 * total[s] for s in over}
+        rest -= sum(3 * total[s] for s in over)
+        free -= over
+    target |= {s: weight[s] * rest // sum(weight[k] for k in free) for s in free}
+    want: list[tuple[int, int]] = []
+    for s in names:
+        epochs, cut = divmod(target[s], total[s])
+        before = 0
+        for i in sorted((i for i in kept if kept[i][1] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            want += [(i, size[i])] * epochs
+            if cut > before:
+                want.append((i, min(size[i], cut - before)))
+            before += size[i]
+    assert sorted((x["doc_id"], len(WORDS.findall(x["text"]))) for x in got) == sorted(want)
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    for x in got:
+        was = kept[x["doc_id"]][0]
+        if not pii.find(was):
+            assert was.startswith(x["text"])
+        assert "Keller" not in x["text"] and not re.search(r"user\d+@mail", x["text"]) and x["n_chars"] == len(x["text"])
+        assert list(x["token_ids"]) == library.encode(x["text"])

@@ -476,3 +476,36 @@ def test_components(spark, monkeypatch):
     for limit in (common.SMALL_GRAPH, 60, -1):
         monkeypatch.setattr(common, "SMALL_GRAPH", limit)
         assert {x["node"]: x["component"] for x in common.components(table).collect()} == want
+
+
+def test_surrogates_keep_type_and_identity(spark):
+    """Many generated entities: texts around them stay, kinds and formats stay, one entity
+    has one surrogate everywhere, and different entities never share one."""
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    card = lambda: (lambda body: body + pii._luhn_digit(body))("4" + digits(14))
+    makers = {
+        "email": lambda: f"u{digits(3)}@m{digits(1)}.example.org",
+        "phone": lambda: f"+49 30 {digits(7)}",
+        "ipv4": lambda: ".".join(str(r.randint(1, 250)) for _ in range(4)),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "card": card,
+        "secret": lambda: "ghp_" + digits(20),
+    }
+    pool = {k: [m() for _ in range(25)] for k, m in makers.items()}
+    rows = []
+    for i in range(120):
+        kinds = [r.choice(list(makers)) for _ in range(r.randint(1, 6))]
+        rows.append((i, "".join(f"before {k} is <{r.choice(pool[k])}> after. " for k in kinds)))
+    got = {x["doc_id"]: x["text"] for x in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cell = re.compile(r"before (\w+) is <([^>]*)> after\. ")
+    of: dict[tuple[str, str], str] = {}
+    for i, t in rows:
+        old, new = cell.findall(t), cell.findall(got[i])
+        assert cell.sub("", got[i]) == "" and [k for k, _ in old] == [k for k, _ in new]
+        for (kind, a), (_, b) in zip(old, new, strict=True):
+            assert a != b and of.setdefault((kind, a), b) == b
+            assert {f[2] for f in pii.find(f"x {b} y")} == {kind} and re.sub(r"\w", "x", a) == re.sub(r"\w", "x", b) or kind == "ipv4"
+    for kind in makers:
+        values = [b for (k, _), b in of.items() if k == kind]
+        assert len(set(values)) == len(values) and not set(values) & set(pool[kind])
