@@ -582,8 +582,11 @@ def q_region_outlets(spark, d):
     return basins.region_outlets(net, _regions(net))
 
 
-@query()
+@query(_sql(N1, "reg AS (SELECT idx, idx // 100 // 25 * 4 + idx % 100 // 25 + 1 AS region FROM net)",
+            "pair AS (SELECT a.region, b.region AS other, a.idx AS i, b.idx AS j FROM reg a JOIN reg b ON b.idx IN (a.idx - 100, a.idx + 100) OR (b.idx IN (a.idx - 1, a.idx + 1) AND b.idx // 100 = a.idx // 100) WHERE a.region IN (2, 5) AND b.region NOT IN (2, 5))",
+            "new AS (SELECT region, min({'i': i, 'j': j, 'o': other}).o AS other FROM pair GROUP BY region)", select="SELECT idx, CAST(coalesce(other, region) AS BIGINT) AS region FROM reg LEFT JOIN new USING (region)"))
 def q_region_dissolve(spark, d):
+    """The dissolved regions touch others, so the nearest cells are one step away."""
     net = n1(spark, d)
     regions = net.cells.select("idx", (F.floor(net.grid.row() / 25) * 4 + F.floor(net.grid.col() / 25) + 1).cast("long").alias("region"))
     return basins.region_dissolve(regions, spark.createDataFrame([(2,), (5,)], "region long"), net.grid)
@@ -902,11 +905,22 @@ def q_subgrid_rivslp(spark, d):
     return subgrid.river_slope(net, _outlets(net), z, direction="down", unit="cell").select("cell", F.round("slope", 6).alias("slope"))
 
 
-@query()
+AROUND = """o AS (SELECT idx AS cell, rank AS d0 FROM r WHERE idx % 45 = 9),
+dn(cell, d0, idx, done) AS (
+  SELECT cell, d0, cell, net.idx = net.ds FROM o JOIN net ON net.idx = cell
+  UNION ALL
+  SELECT cell, d0, n.ds, k.rank <= d0 - 5 OR m.ds = n.ds FROM dn JOIN net n USING (idx) JOIN net m ON m.idx = n.ds JOIN r k ON k.idx = n.ds WHERE NOT done),
+ab(cell, d0, idx, done) AS (
+  SELECT cell, d0, dn.idx, r.rank >= d0 + 5 FROM dn JOIN r USING (idx) WHERE dn.done
+  UNION ALL
+  SELECT cell, d0, -main.m.i, k.rank >= d0 + 5 FROM ab JOIN main ON main.idx = ab.idx JOIN r k ON k.idx = -main.m.i WHERE NOT ab.done)"""
+
+
+@query(_sql(N3, RANK, PAIRS, AREA, MAIN, AROUND, select="SELECT cell, round(CASE WHEN count(*) > 1 THEN abs(regr_slope(value, rank)) ELSE 0 END, 6) AS slope FROM ab JOIN r USING (idx) JOIN val USING (idx) GROUP BY cell"))
 def q_subgrid_rivslp_fixed(spark, d):
     net = n3(spark, d)
     z = parts(spark, d).select("idx", F.col("value").alias("elev"))
-    return subgrid.river_slope(net, _outlets(net), z, "lstsq", "both", unit="cell", length=10)
+    return subgrid.river_slope(net, _outlets(net), z, "lstsq", "both", unit="cell", length=10).select("cell", F.round("slope", 6).alias("slope"))
 
 
 # --- grids
