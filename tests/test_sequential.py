@@ -154,3 +154,43 @@ def test_dug_straight_ways(spark):
                     want[k] = min(want[k], want[to])
     got = {x["idx"]: x["elev"] for x in elevation.dig_4connectivity(net, table(spark, z, "elev")).collect()}
     assert got == pytest.approx(want)
+
+
+def test_points_and_grids(spark):
+    grid = GridSpec(4, 5, (0.5, 0.0, 10.0, 0.0, -0.5, 50.0), True)
+    net = FlowNetwork(spark.createDataFrame([(i, i if i % 5 == 0 else i - 1) for i in range(20)], "idx long, idx_ds long"), grid)
+    x, y = grid.xy("idx")
+    some = net.cells.where("idx in (3, 9, 17)")
+    at = some.select(x.alias("x"), y.alias("y"))
+    by_idx, by_xy = (sorted(map(str, net.snap(p).collect())) for p in (some.select("idx"), at))
+    assert by_idx == by_xy and len(by_idx) == 3
+    assert sorted(map(str, net.path(at).collect())) == sorted(map(str, net.path(some.select("idx")).collect()))
+    assert {r["idx"] for r in net.add_pits(at).pits().collect()} == {0, 5, 10, 15, 3, 9, 17}
+    assert sorted(map(str, basins.basins(net, at).collect())) == sorted(map(str, basins.basins(net, some.select("idx")).collect()))
+    with pytest.raises(ValueError):
+        net.snap(at.select("x"))
+    moved = net.set_transform((1.0, 0.0, 0.0, 0.0, -1.0, 0.0))
+    assert moved.grid.bounds == (0.0, -4.0, 5.0, 0.0) and not moved.grid.latlon and net.grid.latlon
+    assert net["shape"] == (4, 5) and net["nnodes"] == 20 and {r["idx"] for r in net["idxs_pit"].collect()} == {0, 5, 10, 15} and "4" in str(net)
+    with pytest.raises(ValueError):
+        FlowNetwork(net.cells).set_transform((1.0, 0.0, 0.0, 0.0, -1.0, 0.0))
+
+
+def test_segments_between_outlets(spark):
+    from thalweg.operators.streams import outlet_segments
+
+    net = FlowNetwork(spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (6, 2), (7, 6)], "idx long, idx_ds long"))
+    lines = lambda d: {k: [c for _, c in sorted(v)] for k, v in _by_line(d).items()}
+    out = spark.createDataFrame([(5,), (2,), (7,)], "idx long")
+    assert lines(outlet_segments(net, out)) == {(5, 0): [5, 4, 3, 2], (7, 0): [7, 6, 2], (2, 0): [2, 1, 0], (2, -1): [0, 0]}
+    assert lines(outlet_segments(net, out, max_len=2)) == {(5, 0): [5, 4], (7, 0): [7, 6], (2, 0): [2, 1]}
+    inside = net.cells.where("idx <> 3").select("idx")
+    assert lines(outlet_segments(net, out, inside)) == {(5, 0): [5, 4], (7, 0): [7, 6, 2], (2, 0): [2, 1, 0], (2, -1): [0, 0]}
+    assert lines(outlet_segments(net, spark.createDataFrame([(0,), (3,)], "idx long"), direction="up")) == {(0, 0): [3, 2, 1, 0], (3, 0): [5, 4, 3]}
+
+
+def _by_line(lines):
+    out: dict = {}
+    for r in lines.collect():
+        out.setdefault((r["seg"], r["part"]), []).append((r["pos"], r["idx"]))
+    return out
