@@ -6,7 +6,7 @@ have a Jaccard index of 0.8 or more, exactly.
   of a set of n in one order for all sets.  Any order is right; this one is by hash
   with shingles that several documents have put last, so that common passages don't
   gather unrelated documents.  Which those are is read from a bitmap of bounded
-  size; where it is too full, some rare shingles count as common as well.
+  size; where they are too many, it has the more frequent ones.
 * The sharers of a prefix shingle may link only if sizes and places in the prefixes
   leave room for the overlap.  Each shingle gives a forest over those that may, so
   what is written is linear in its sharers.  The forests' components are clusters:
@@ -158,10 +158,16 @@ def _counted(batches):
 
 def _hot_bitmap(hot: DataFrame) -> tuple[np.ndarray, int]:
     """The bitmap of common shingles (bucket, slot, n) and its number of bits; 0 if there
-    are none.  It is set in pieces by the executors."""
-    n = hot.count()
+    are none.  It is set in pieces by the executors.  Where there are too many for it,
+    it has the more frequent ones."""
+    level = F.floor(F.log2("n")).cast("int")
+    sizes = sorted((r["level"], r["count"]) for r in hot.groupBy(level.alias("level")).count().collect())
+    while len(sizes) > 1 and sum(c for _, c in sizes) * BITS_PER_HOT > MAX_HOT_BITS:
+        sizes = sizes[1:]
+    n = sum(c for _, c in sizes)
     if not n:
         return np.zeros(0, np.uint8), 0
+    hot = hot.where(level >= sizes[0][0])
     bits = bits_for(n * BITS_PER_HOT, MAX_HOT_BITS)
     piece = 1 << 15
 
