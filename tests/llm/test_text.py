@@ -510,3 +510,29 @@ def test_surrogates_keep_type_and_identity(spark):
     for kind in makers:
         values = [b for (k, _), b in of.items() if k == kind]
         assert len(set(values)) == len(values) and not set(values) & set(pool[kind])
+
+
+def test_chance_sharing_gathers_no_texts(spark, monkeypatch):
+    """Long texts of a small vocabulary share shingles by chance: some have near copies, and
+    only these are to be compared."""
+    r = random.Random(8)
+    rows = []
+    for i in range(600):
+        w = [f"w{r.randrange(800)}" for _ in range(300)]
+        rows += [(1000 * j + i, " ".join([*w[:at], "other", *w[at:]])) for j in range(1 + (i % 4 == 0)) for at in [r.randrange(300)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    keep = ngramjoin.saved
+
+    def saved(df, tag):
+        out = keep(df, tag)
+        if tag == "members":
+            seen.extend(x["count"] for x in out.groupBy("cluster").count().collect())
+        return out
+
+    monkeypatch.setattr(ngramjoin, "saved", saved)
+    got = {x["doc_id"]: x["component_id"] for x in ngramjoin.join_components(docs, k=2, count=False).collect()}
+    sets = {d: {tuple(w[i : i + 2]) for i in range(len(w) - 1)} for d, t in rows for w in [t.split(" ")]}
+    twins = {i for i in range(0, 600, 4) if 100 * len(sets[i] & sets[1000 + i]) >= 80 * len(sets[i] | sets[1000 + i])}
+    assert got == {d: d - 1000 if d >= 1000 and d - 1000 in twins else d for d, _ in rows} and len(twins) > 100
+    assert max(seen) <= 10

@@ -3,10 +3,12 @@ have a Jaccard index of 0.8 or more, exactly.
 
 * Documents with equal sets are one entity from the start.
 * Linked entities share a shingle of their prefixes: the first n - ceil(0.8 n) + 1
-  of a set of n in one order for all sets.  Any order is right; this one is by hash
-  with shingles that several documents have put last, so that common passages don't
-  gather unrelated documents.  Which those are is read from a bitmap of bounded
-  size; where they are too many, it has the more frequent ones.
+  of a set of n in one order for all sets.  Any order is right; this one is by level,
+  the logarithm of the number of documents that have the shingle, then by hash.  So
+  neither common passages nor shingles that long texts share by chance gather
+  unrelated documents: such a shingle is in more documents than the others of either
+  text or, if that one has copies, of its copies.  Levels are read from a bitmap of
+  bounded size; where it is too small, it has the more frequent shingles.
 * The sharers of a prefix shingle may link only if sizes and places in the prefixes
   leave room for the overlap.  Each shingle gives a forest over those that may, so
   what is written is linear in its sharers.  The forests' components are clusters:
@@ -38,11 +40,13 @@ from thalweg.llm.shingles import SHINGLE_WORDS, mix, shingle_sets
 
 #: The threshold as a fraction: intersection * DEN >= union * NUM.
 NUM, DEN = 80, 100
-#: Shingles that more than HOT documents have stand last; counted are those among the
-#: REGION smallest hashes of a set, as prefixes seldom reach further.
-HOT, REGION = 8, 0.4
-#: The bitmap of common shingles has this many bits for each, MAX_HOT_BITS at most.
-BITS_PER_HOT, MAX_HOT_BITS = 16, 1 << 28
+#: Level j and those above have shingles of more than HOT * 2^(j - 1) documents; counted are
+#: the REGION smallest hashes, as prefixes seldom reach further.  The others stand behind
+#: level UNCOUNTED, before what is common.
+HOT, LEVELS, REGION, UNCOUNTED = 1, 16, 0.6, 3
+#: The bitmap of common shingles has this many bits for each of their levels, MAX_HOT_BITS
+#: at most; with less than LEAST_PER_HOT bits for each, it has the more frequent shingles.
+BITS_PER_HOT, LEAST_PER_HOT, MAX_HOT_BITS = 16, 2, 1 << 28
 #: Prefix shingles are dealt into buckets of about this many, BUCKETS at least.
 BUCKET_KEYS, BUCKETS = 1 << 21, 256
 #: Sharers of a shingle that are compared pair by pair; of more, neighbours in size are.
@@ -99,12 +103,17 @@ def _split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys % np.uint64(buckets)).astype(np.int64), (keys // np.uint64(buckets)).astype(np.uint32)
 
 
-def _bit(bucket, slot: np.ndarray, bits: int) -> np.ndarray:
-    """Where the bitmap of common shingles has a shingle."""
-    at = slot.astype(np.uint64) << np.uint64(32) ^ np.asarray(bucket).astype(np.uint64)
+def _bit(bucket, slot: np.ndarray, bits: int, level=0) -> np.ndarray:
+    """Where the bitmap of common shingles has whether a shingle is above a level."""
+    at = slot.astype(np.uint64) << np.uint64(32) ^ np.asarray(level).astype(np.uint64) << np.uint64(26) ^ np.asarray(bucket).astype(np.uint64)
     return (mix(at) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _counted_part(s: np.ndarray) -> int:
+    """How many shingles of a set are counted: its smallest ones."""
+    return int(np.searchsorted(s, np.uint64(REGION * (1 << 64))))
+
+
 def _region(buckets: int, k: int):
     """Rows (bucket, slots): the slots that the documents of a batch have to count."""
 
@@ -112,7 +121,7 @@ def _region(buckets: int, k: int):
         for batch in batches:
             for part in slices(batch, 0):
                 sets = shingle_sets(bytes_of(part.column(0)), k)
-                keys = np.concatenate([np.zeros(0, np.uint64), *(s[: int(np.ceil(REGION * len(s)))] for s in sets)])
+                keys = np.concatenate([np.zeros(0, np.uint64), *(s[: _counted_part(s)] for s in sets)])
                 yield from _packed(*_split(keys, buckets), buckets)
 
     return run
@@ -160,9 +169,9 @@ def _hot_bitmap(hot: DataFrame) -> tuple[np.ndarray, int]:
     """The bitmap of common shingles (bucket, slot, n) and its number of bits; 0 if there
     are none.  It is set in pieces by the executors.  Where there are too many for it,
     it has the more frequent ones."""
-    level = F.floor(F.log2("n")).cast("int")
-    sizes = sorted((r["level"], r["count"]) for r in hot.groupBy(level.alias("level")).count().collect())
-    while len(sizes) > 1 and sum(c for _, c in sizes) * BITS_PER_HOT > MAX_HOT_BITS:
+    level = F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") / max(HOT, 1))))).cast("int")
+    sizes = sorted((r["level"], r["level"] * r["count"]) for r in hot.groupBy(level.alias("level")).count().collect())
+    while len(sizes) > 1 and sum(c for _, c in sizes) * LEAST_PER_HOT > MAX_HOT_BITS:
         sizes = sizes[1:]
     n = sum(c for _, c in sizes)
     if not n:
@@ -173,11 +182,11 @@ def _hot_bitmap(hot: DataFrame) -> tuple[np.ndarray, int]:
 
     def place(batches):
         for batch in batches:
-            at = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits)
+            at = _bit(*(c.to_numpy() for c in batch.columns[:2]), bits, batch.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(at // piece), pa.array(at % piece)], ["piece", "at"])
 
     rows = (
-        hot.select("bucket", "slot").mapInArrow(place, "piece long, at long").groupBy("piece")
+        hot.select("bucket", "slot", F.explode(F.sequence(F.lit(0), level - 1))).mapInArrow(place, "piece long, at long").groupBy("piece")
         .agg(F.bitmap_construct_agg("at").alias("m")).toLocalIterator()
     )
     table = np.zeros(bits // 8, np.uint8)
@@ -194,9 +203,16 @@ def _prefix(s: np.ndarray, bucket: np.ndarray, slot: np.ndarray, table: np.ndarr
     p = n - -(-NUM * n // DEN) + 1
     if not bits:
         return np.arange(p)
-    at = _bit(bucket, slot, bits)
-    hot = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return np.concatenate((np.flatnonzero(~hot)[:p], np.flatnonzero(hot)))[:p]
+    counted = _counted_part(s)
+    level, above = np.full(n, 2 * UNCOUNTED + 1, np.int8), np.arange(counted)
+    level[above] = 0
+    for j in range(LEVELS):
+        at = _bit(bucket[above], slot[above], bits, j)
+        above = above[(table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        level[above] = 2 * (j + 1)
+        if (counted if j < UNCOUNTED else n) - len(above) >= p:  # what is above isn't in the prefix
+            break
+    return np.argsort(level, kind="stable")[:p]
 
 
 def _describe(buckets: int, k: int, shared):
