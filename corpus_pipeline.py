@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -45,18 +46,18 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-@F.pandas_udf(StringType())
+@F.arrow_udf(StringType())
 def _head(text, words):
     """The first words of a text, up to the end of the last of them; null for null."""
     out = []
-    for t, n in zip(text, words, strict=True):
+    for t, n in zip(text.to_pylist(), words.to_pylist(), strict=True):
         end = 0
         for k, m in enumerate(re.finditer(WORD, t or "")):
             if k >= n:
                 break
             end = m.end()
         out.append(t and t[:end])
-    return text.__class__(out)
+    return pa.array(out, pa.string())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

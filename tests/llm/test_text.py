@@ -2,8 +2,11 @@
 rows, clashing columns and empty tables."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -536,3 +539,28 @@ def test_chance_sharing_gathers_no_texts(spark, monkeypatch):
     twins = {i for i in range(0, 600, 4) if 100 * len(sets[i] & sets[1000 + i]) >= 80 * len(sets[i] | sets[1000 + i])}
     assert got == {d: d - 1000 if d >= 1000 and d - 1000 in twins else d for d, _ in rows} and len(twins) > 100
     assert max(seen) <= 10
+
+
+TASK = """
+from pathlib import Path
+import pyarrow as pa
+from thalweg.llm import ngramjoin
+
+def resident():
+    return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+def batches():
+    for k in range(5):
+        texts = [" ".join(f"w{(1000 * k + i) * 400 + j}" for j in range(400)) for i in range(1000)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+most = max(resident() for _ in ngramjoin._region(256, 5)(batches()))
+print((most - resident()) >> 20)
+"""
+
+
+def test_workers_give_memory_back():
+    """What a task has freed doesn't stay with its Python, which Spark keeps for later stages."""
+    done = subprocess.run([sys.executable, "-c", TASK], env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) >= 25

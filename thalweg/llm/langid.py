@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import extended, fresh, limit_arrow_rows
+from thalweg.llm.common import extended, fresh, lean, limit_arrow_rows
 
 #: Bound of the training sample: about so many documents of each language, chosen by hash.
 TRAIN_DOCS_PER_LANG = 3000
@@ -218,6 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     frame = docs.select(*kept, F.col("text").alias(given))
     types = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
 
+    @lean
     def predict(batches):
         model = shared.value
         for batch in batches:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import IdFilter, arrow_rows, bits_for, bytes_of, components, forget, fresh, saved, slices
+from thalweg.llm.common import IdFilter, arrow_rows, bits_for, bytes_of, components, forget, fresh, lean, saved, slices
 from thalweg.llm.shingles import SHINGLE_WORDS, mix, shingle_sets
 
 #: The threshold as a fraction: intersection * DEN >= union * NUM.
@@ -117,6 +117,7 @@ def _counted_part(s: np.ndarray) -> int:
 def _region(buckets: int, k: int):
     """Rows (bucket, slots): the slots that the documents of a batch have to count."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
@@ -135,6 +136,7 @@ def _packed(bucket: np.ndarray, data: np.ndarray, buckets: int) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([data[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "data"])
 
 
+@lean
 def _counted(batches):
     """(bucket, slot, n) of slots of more than HOT documents, from rows sorted by bucket.
     Counts are merged as rows come, so a bucket takes memory for its distinct slots."""
@@ -180,6 +182,7 @@ def _hot_bitmap(hot: DataFrame) -> tuple[np.ndarray, int]:
     bits = bits_for(n * BITS_PER_HOT, MAX_HOT_BITS)
     piece = 1 << 15
 
+    @lean
     def place(batches):
         for batch in batches:
             at = _bit(*(c.to_numpy() for c in batch.columns[:2]), bits, batch.column(2).to_numpy())
@@ -224,6 +227,7 @@ def _describe(buckets: int, k: int, shared):
     def made(length, **cols):
         return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(length, t) for c, t in zip(names, types, strict=True)], names)
 
+    @lean
     def run(batches):
         table, bits = shared.value
         for batch in batches:
@@ -343,6 +347,7 @@ def cluster_links(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _forest(np.concatenate(lefts), np.concatenate(rights))
 
 
+@lean
 def _clustered(batches):
     """(a, b) links of entities to cluster, from rows (bucket, data) sorted by bucket."""
 
@@ -508,6 +513,7 @@ def _compared(k: int):
         cols = [pa.array(who, pa.int64()), pa.array([roots.get(e, e) for e in who], pa.int64()), pa.array(near[at].astype(np.int64))]
         return pa.RecordBatch.from_arrays(cols, ["entity", "root", "near"])
 
+    @lean
     def run(batches):
         at, rows = None, []
         for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import extended, fresh, limit_arrow_rows, saved
+from thalweg.llm.common import extended, fresh, lean, limit_arrow_rows, saved
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: How vocabularies write a space.
@@ -411,6 +411,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", giant: int = GIA
     schema = extended(docs.schema, "token_ids array<int>, n_tokens int, n_chunks int, n_states int")
     ints = pa.list_(pa.int32())
 
+    @lean
     def whole(batches):
         codec = Codec.of(shared.value)
         for batch in (whole.slice(i, BATCH_ROWS) for whole in batches for i in range(0, whole.num_rows, BATCH_ROWS)):
@@ -454,6 +455,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", giant: int = GIA
                 weights = entry_weights([p["m"] for p in parts])
                 yield pa.RecordBatch.from_arrays([pa.array([r["row"]] * len(parts), pa.int64()), pa.array([p["k"] for p in parts], pa.int32()), pa.array(weights, pa.list_(pa.int64()))], ["row", "k", "weights"])
 
+    @lean
     def back(batches):
         codec = Codec.of(shared.value)
         option = pa.list_(pa.struct([("entry", pa.int32()), ("ids", ints)]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import arrow_rows, extended, fresh, limit_arrow_rows, saved
+from thalweg.llm.common import arrow_rows, extended, fresh, lean, limit_arrow_rows, saved
 
 #: Key of the surrogates; production runs pass their own.
 DEFAULT_KEY = "thalweg-surrogates"
@@ -362,6 +362,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     row, spans, of_row = fresh([*names, "n_entities"], "row", "found", "of")
     entity = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string()), ("value", pa.string())])
 
+    @lean
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[dict(zip("ab", f[:2], strict=True), kind=f[2], value=f[3]) for f in find(t.as_py())] for t in batch.column(at)]
@@ -376,6 +377,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     pairs = each.join(table, ["kind", "value"]).groupBy(row).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(of_row))
     joined = held.join(pairs, row, "left")
 
+    @lean
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n = [], []
