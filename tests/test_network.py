@@ -9,7 +9,7 @@ from thalweg.functions.grid import GridSpec
 from thalweg.operators import FlowNetwork
 from thalweg.operators.basins import basins
 from thalweg.operators.streams import segments, stream_order
-from thalweg.plans import contract
+from thalweg.plans import contract, saved
 
 
 def forest(n, seed, loops=True):
@@ -162,3 +162,11 @@ def test_encodings_round_trip(spark, ftype):
     back = net.to_array(ftype)
     names = codes.columns
     assert sorted(map(tuple, back.select(*names).collect())) == sorted(map(tuple, codes.collect()))
+
+
+def test_large_tables_are_not_broadcast(spark):
+    """Tables of a megabyte and more of files are shuffled, not sent over the driver."""
+    a, b = (saved(spark.range(400_000).selectExpr("id as idx", f"hash(id, {k}) as v{k}"), "wide") for k in (1, 2))
+    assert "BroadcastHashJoin" not in a.join(b, "idx")._jdf.queryExecution().sparkPlan().toString()
+    few = saved(spark.range(10).withColumnRenamed("id", "idx"), "few")
+    assert "BroadcastHashJoin" in a.join(few, "idx")._jdf.queryExecution().sparkPlan().toString()

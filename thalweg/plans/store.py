@@ -25,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Largest table, by the bytes of its files, that joins send to all executors over the driver.
+BROADCAST = 1 << 20
+
+
+def bound_broadcasts(spark: SparkSession) -> None:
+    """Lower the session's threshold for broadcasts to ``BROADCAST``.  Files of ids hold a
+    fraction of what their rows take, and a query joins its tables dozens of times; with
+    Spark's 10 MB each of these joins sends millions of rows to the driver."""
+    if spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() > BROADCAST:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(BROADCAST))
+
+
 _cleaned: set[str] = set()
 
 
@@ -38,8 +50,9 @@ def _clean_up(spark: SparkSession, app: str, path: str) -> None:
 
 def saved(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write and read back: cuts the lineage, survives lost executors.  Tables go when
-    the driver ends."""
+    the driver ends.  Joins of the session broadcast small tables only from then on."""
     spark = df.sparkSession
+    bound_broadcasts(spark)
     app = spark.sparkContext.applicationId
     run = f"{shared_dir(spark)}/thalweg-{app}"
     if run not in _cleaned:
