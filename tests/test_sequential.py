@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thalweg.functions.grid import GridSpec
-from thalweg.operators import FlowNetwork, basins, elevation, rivers, windows
+from thalweg.operators import FlowNetwork, basins, elevation, rivers, subgrid, windows
 from thalweg.operators.elevation import adjust_profile
 
 
@@ -239,3 +239,25 @@ def _by_line(lines):
     for r in lines.collect():
         out.setdefault((r["seg"], r["part"]), []).append((r["pos"], r["idx"]))
     return out
+
+
+def test_slopes_of_fixed_length_follow_short_paths(spark, monkeypatch):
+    """A long river with many outlets: only the pixels around each are walked."""
+    n, walked, path = 600, [], FlowNetwork.path
+
+    def counted(self, *args, **kw):
+        walked.append(path(self, *args, **kw))
+        return walked[-1]
+
+    monkeypatch.setattr(FlowNetwork, "path", counted)
+    net = FlowNetwork(spark.createDataFrame([(i, max(0, i - 1)) for i in range(n)], "idx long, idx_ds long"))
+    z = {i: float((i * 7919) % 101) for i in range(n)}
+    at = [i for i in range(n) if i % 12 == 5]
+    outlets = spark.createDataFrame([(i, i) for i in at], "cell long, pixel long")
+    got = {x["cell"]: x["slope"] for x in subgrid.river_slope(net, outlets, table(spark, z, "elev"), "lstsq", "both", unit="cell", length=9).collect()}
+    want = {}
+    for i in at:
+        x = np.arange(max(0, i - 5), min(n - 1, i + 5) + 1)
+        want[i] = abs(np.polyfit(x, [z[k] for k in x], 1)[0])
+    assert got == pytest.approx(want)
+    assert sum(x.count() for x in walked) < 25 * len(at)

@@ -93,7 +93,7 @@ def river_slope(net: FlowNetwork, outlets: DataFrame, elevation: DataFrame, meth
     dist = saved(net.stream_distance(unit=unit), "distance")
     z = elevation.select("idx", F.col("elev").cast("double").alias("elev"))
     if direction == "both":
-        rows = _around(net, outlets, dist, 1000.0 if length is None else float(length), mask, uparea)
+        rows = _around(net, outlets, dist, 1000.0 if length is None else float(length), unit, mask, uparea)
     else:
         rows = members(net, outlets, direction, mask, uparea)
     rows = rows.join(dist.select("idx", F.col("dist").cast("double").alias("dist")), "idx").join(z, "idx")
@@ -102,18 +102,20 @@ def river_slope(net: FlowNetwork, outlets: DataFrame, elevation: DataFrame, meth
     return rows.groupBy("cell").agg(F.when(F.count("*") > 1, F.abs(how)).otherwise(F.lit(0.0)).alias("slope"))
 
 
-def _around(net, outlets, dist, length, mask, uparea) -> DataFrame:
+def _around(net, outlets, dist, length, unit, mask, uparea) -> DataFrame:
     """(cell, pos, idx): down from the outlet by half the length, then up the main stem over all of it."""
     half = length / 2
+    # paths go as far as the pixels looked for can be: a step beyond the length, and one to spare for rounding
+    step = net.edges(unit).agg(F.max("length")).first()[0] or 0.0
     d = dist.select("idx", F.col("dist").cast("double").alias("d"))
     down = _directed(net, "down", mask, None)
-    far = down.path(outlets.select(F.col("pixel").alias("idx")).distinct()).join(d, "idx")
+    far = down.path(outlets.select(F.col("pixel").alias("idx")).distinct(), unit=unit, max_length=half + 2 * step).join(d, "idx")
     own = outlets.join(d.select(F.col("idx").alias("pixel"), F.col("d").alias("d0")), "pixel").select("cell", F.col("pixel").alias("start"), "d0")
     low = own.join(far, "start")
     # the first pixel at or beyond the half length, or the last one there is
     first = low.groupBy("cell", "d0").agg(F.min(F.when(F.col("d") <= F.col("d0") - half, F.struct("pos", "idx"))).alias("p"), F.max(F.struct("pos", "idx")).alias("q"))
     first = saved(first.select("cell", "d0", F.coalesce("p", "q")["idx"].alias("start")), "lowest")
-    up = _directed(net, "up", mask, uparea).path(first.select(F.col("start").alias("idx")).distinct()).join(d, "idx")
+    up = _directed(net, "up", mask, uparea).path(first.select(F.col("start").alias("idx")).distinct(), unit=unit, max_length=length + 4 * step).join(d, "idx")
     rows = first.join(up, "start")
     end = rows.where(F.col("d") >= F.col("d0") + half).groupBy("cell").agg(F.min("pos").alias("last"))
     return rows.join(end, "cell", "left").where("last is null or pos <= last").select("cell", "pos", "idx")
