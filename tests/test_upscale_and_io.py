@@ -72,3 +72,16 @@ def test_files(spark, net, tmp_path):
     assert sorted(map(tuple, small.cells.collect())) == [(0, 0), (2, 3), (3, 3)]
     with pytest.raises(ValueError):
         FlowNetwork.from_array(net.to_array("d8").withColumn("code", F.lit(77)), net.grid)
+
+
+def test_solved_paths_are_written_once(net, uparea, monkeypatch):
+    """What ``ascend`` returns is a saved table already and isn't saved a second time."""
+    tags, keep = [], upscale.saved
+
+    def counted(df, tag):
+        tags.append(tag)
+        return keep(df, tag)
+
+    monkeypatch.setattr(upscale, "saved", counted)
+    upscale.upscale_error(net, *upscale.upscale(net, 20, "eam_plus", uparea)).count()
+    assert tags == ["uparea", "outlets", "coarse"]

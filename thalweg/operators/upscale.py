@@ -48,7 +48,7 @@ def representatives(net: FlowNetwork, factor: int, uparea: DataFrame, area: Colu
 def _from(pixels: DataFrame, net: FlowNetwork, stop: Column, name: str) -> DataFrame:
     """``pixels`` (cell, pixel) with the first pixel strictly below at which ``stop``
     holds or the path ends, as ``name``."""
-    to = saved(ascend(net.cells, {}, stop, net.block), "to")
+    to = ascend(net.cells, {}, stop, net.block)
     first = net.cells.select(F.col("idx").alias("pixel"), F.col("idx_ds").alias("_first"))
     return pixels.join(first, "pixel").join(to.select(F.col("idx").alias("_first"), F.col("terminal").alias(name)), "_first").drop("_first")
 
@@ -102,7 +102,7 @@ def _eam_next(net: FlowNetwork, factor: int, out: DataFrame, ratio: float) -> Da
     # from one effective pixel to the next: a network of its own, whose ends are the steps into another cell
     chain = saved(_from(here, net, inside, "next").where("next is not null").select(F.col("pixel").alias("idx"), F.col("next").alias("idx_ds")), "effective")
     crossing = coarse_cell(g, factor) != coarse_cell(g, factor, "idx_ds")
-    last = saved(ascend(chain, {}, crossing, net.block), "crossing").join(chain.select(F.col("idx").alias("terminal"), F.col("idx_ds").alias("_over")), "terminal")
+    last = ascend(chain, {}, crossing, net.block).join(chain.select(F.col("idx").alias("terminal"), F.col("idx_ds").alias("_over")), "terminal")
     first = _from(out, net, inside, "first")
     both = first.join(last.select(F.col("idx").alias("first"), "_over"), "first", "left")
     there = F.when(coarse_cell(g, factor, "first") != F.col("cell"), F.col("first")).otherwise(F.coalesce("_over", "first"))
@@ -113,7 +113,7 @@ def _plus_next(net: FlowNetwork, factor: int, out: DataFrame, ratio: float) -> D
     """The cell of the next outlet pixel below if it is adjacent, else of the first effective area."""
     g, ncol = net.grid, net.grid.scaled(factor).ncol
     marked = net.cells.join(out.select(F.col("pixel").alias("idx"), F.lit(True).alias("_out")), "idx", "left")
-    to = saved(ascend(marked, {}, F.col("_out"), net.block), "next-outlet")
+    to = ascend(marked, {}, F.col("_out"), net.block)
     first = net.cells.select(F.col("idx").alias("pixel"), F.col("idx_ds").alias("_first"))
     hit = out.join(first, "pixel").join(to.select(F.col("idx").alias("_first"), F.col("terminal").alias("outlet")), "_first").drop("_first")
     both = hit.join(_from(out, net, in_effective_area(g, factor, "idx", ratio), "passed").select("cell", "passed"), "cell")
@@ -136,7 +136,7 @@ def relocate(net: FlowNetwork, factor: int, out: DataFrame, uparea: DataFrame) -
     g, ncol = net.grid, net.grid.scaled(factor).ncol
     at = lambda c: coarse_cell(g, factor, c)
     leaves = at("idx") != at("idx_ds")
-    ends = saved(ascend(net.cells, {}, leaves, net.block), "leaves")
+    ends = ascend(net.cells, {}, leaves, net.block)
     node = net.cells.where(leaves | (F.col("idx") == F.col("idx_ds"))).withColumnRenamed("idx_ds", "_first")
     node = node.join(ends.select(F.col("idx").alias("_first"), "terminal"), "_first").join(uparea.select("idx", "uparea"), "idx")
     node = saved(node.select("idx", F.when(F.col("_first") == F.col("idx"), F.col("idx")).otherwise(F.coalesce("terminal", "idx")).alias("idx_ds"), at("idx").alias("home"), "uparea"), "nodes")
@@ -147,7 +147,7 @@ def relocate(net: FlowNetwork, factor: int, out: DataFrame, uparea: DataFrame) -
         """(idx, next, hit): the next outlet below every pixel, or where its path ends if
         there is none; and (cell, pixel, next, hit, misses) of the cells."""
         chosen = out.select(F.col("pixel").alias("idx"), F.lit(True).alias("_out"))
-        to = saved(ways.ascend(chosen, {}, F.col("_out")), "to")
+        to = ways.ascend(chosen, {}, F.col("_out"))
         there = to.select(F.col("idx").alias("idx_ds"), "terminal")
         below = node.join(there, "idx_ds").join(chosen.select(F.col("idx").alias("terminal"), "_out"), "terminal", "left")
         below = saved(below.select("idx", F.col("terminal").alias("next"), F.coalesce("_out", F.lit(False)).alias("hit")), "below")
@@ -242,7 +242,7 @@ def upscale_error(net: FlowNetwork, coarse: FlowNetwork, outlets: DataFrame) ->
     """(cell, connected): 1 if the next outlet pixel below a cell's outlet is that of
     its downstream cell, else 0; -1 for cells without outlet or downstream cell."""
     marked = net.cells.join(outlets.select(F.col("pixel").alias("idx"), F.lit(True).alias("_out")), "idx", "left")
-    to = saved(ascend(marked, {}, F.col("_out"), net.block), "next-outlet")
+    to = ascend(marked, {}, F.col("_out"), net.block)
     first = net.cells.select(F.col("idx").alias("pixel"), F.col("idx_ds").alias("_first"))
     hit = outlets.join(first, "pixel").join(to.select(F.col("idx").alias("_first"), "terminal"), "_first").select("cell", "terminal")
     want = outlets.select(F.col("cell").alias("idx_ds"), F.col("pixel").alias("_want"))
@@ -260,7 +260,7 @@ def upscale_check(net: FlowNetwork, coarse: FlowNetwork, outlets: DataFrame, min
     between them, else -9.
     """
     marked = saved(net.cells.join(outlets.select(F.col("pixel").alias("idx"), "cell"), "idx", "left"), "marked")
-    to = saved(ascend(marked.select("idx", "idx_ds", F.col("cell").alias("_cell"), F.lit(1).alias("steps")), {"steps": "sum"}, F.col("_cell").isNotNull(), net.block), "next-outlet")
+    to = ascend(marked.select("idx", "idx_ds", F.col("cell").alias("_cell"), F.lit(1).alias("steps")), {"steps": "sum"}, F.col("_cell").isNotNull(), net.block)
     own = outlets.select("cell", F.col("pixel").alias("idx")).join(net.cells, "idx").select("cell", F.col("idx").alias("pixel"), F.col("idx_ds").alias("idx"))
     hit = own.join(to, "idx").select("cell", "terminal", F.when(F.col("pixel") == F.col("idx"), F.lit(1)).otherwise(F.col("steps") + 1).alias("away"))
     want = outlets.select(F.col("cell").alias("idx_ds"), F.col("pixel").alias("want"))
